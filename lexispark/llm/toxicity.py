@@ -20,8 +20,10 @@ from .common import mix64
 
 BITS = 20
 MOST_ROWS = 6000
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
-STEPS = 40_000
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
+STEPS = 24_000
+LEAST_ROWS = 5  # a feature of fewer labelled rows gets no weight
+POSITIVE = 3.0  # times that a toxic row counts
 
 KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -47,6 +49,8 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = STEPS) -> tuple[np.ndar
     """(feature numbers, weights) of the nonzero weights; number 2 ** BITS is the bias, which has no L1 term."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in rows)]), minlength=1 << BITS) >= LEAST_ROWS
+    rows = [(x[often[x]], y) for x, y in rows]
     epochs = int(np.clip(steps // max(1, len(rows)), 2, 25))
     order = np.random.RandomState(7)
     l1 = np.full(size, L1)
@@ -63,6 +67,7 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = STEPS) -> tuple[np.ndar
             i = np.append(x, size - 1)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g *= POSITIVE if y else 1.0
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
