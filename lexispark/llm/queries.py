@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixture, secretscan, shards, tokencount, topk, toxicity
+from . import bpe, jaccard, media, mixture, secretscan, shards, tokencount, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_digests(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_token_counts, op5_media, op6_mixture, op7_toxicity, op8_shards, op9_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_topk, op3_token_counts, op4_jaccard, op5_media, op6_mixture, op7_toxicity, op8_shards, op9_secrets, op10_bpe)}
 
 ORACLE_SQL = {
     "op2_topk": """
