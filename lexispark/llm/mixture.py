@@ -61,21 +61,21 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """docs: (key, source, size) of every row, key unique. After plan(): sources, segments, draws."""
+    """docs: (key, place, source, size) of every row: key is unique, place a hash that reruns agree on and that orders a source."""
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> None:
         self.block, self.shards = block, shards
         self.sources = written(
             targets(docs).withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("bigint")).withColumn("slots", F.least(F.round(F.col("target") / block).cast("bigint"), F.col("n_blocks") * CAP)), "mix-sources"
         )
-        counted = docs.filter("size > 0").withColumn("bucket", F.xxhash64("key", F.lit(SEED)))
+        counted = docs.filter("size > 0").withColumn("bucket", F.xxhash64("place", F.lit(SEED)))
         n = written(docs.filter("size > 0").groupBy("source").agg(F.ceil(F.count("*") / ROWS_PER_BUCKET).cast("bigint").alias("buckets")), "mix-buckets")
         same = lambda a, b: a["source"].eqNullSafe(b["source"])
-        counted = counted.join(n, same(counted, n)).select("key", counted["source"], "size", F.pmod("bucket", F.col("buckets")).alias("bucket"))
+        counted = counted.join(n, same(counted, n)).select("key", "place", counted["source"], "size", F.pmod("bucket", F.col("buckets")).alias("bucket"))
         sums = counted.groupBy("source", "bucket").agg(F.sum("size").alias("_s"))
         w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         base = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), (F.sum("_s").over(w) - F.col("_s")).alias("base"))
-        inner = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(SEED), "key"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inner = Window.partitionBy("source", "bucket").orderBy("place", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         within = counted.withColumn("upto", F.sum("size").over(inner))
         placed = within.join(base, within["source"].eqNullSafe(base["_source"]) & (within["bucket"] == base["_bucket"])).select("key", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
         placed = placed.withColumn("first", F.floor(F.col("start") / block)).withColumn("last", F.floor((F.col("start") + F.col("size") - 1) / block))
@@ -108,23 +108,39 @@ class Mixture:
         return parts.join(slots, (parts["s"] == slots["t"]) & (parts["_block"] == slots["block"]) & parts["_source"].eqNullSafe(slots["source"])).select("key", "shard", "slot", "epoch", "begin", "end")
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+def measured(documents: DataFrame, key: Column) -> DataFrame:
+    size = word_count(F.col("text"))
+    return documents.select(key.alias("key"), F.xxhash64("doc_id", F.lit(SEED)).alias("place"), F.col("doc_id").cast("bigint"), F.col("source").cast("string"), size.alias("size"))
 
 
 def mixed(documents: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row. Documents without words take part with 0 words.
 
-    Rows that repeat a doc_id are told apart by a number in their written order, so each keeps its own row.
+    Rows that repeat a doc_id are told apart by their place in the input. An empty table gives no rows.
     """
-    docs = written(measured(documents).withColumn("key", F.monotonically_increasing_id()), "mix-docs")
-    # a key that reruns agree on: doc_id, and the place among rows of the same doc_id
-    again = Window.partitionBy("doc_id").orderBy("source", "size", "key")
-    docs = docs.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.row_number().over(again).alias("n"))).withColumn("key", F.concat_ws("-", "key.d", "key.n"))
-    docs = written(docs, "mix-keyed")
+    docs = written(measured(documents, F.monotonically_increasing_id()), "mix-docs")
     m = Mixture(docs, block, shards)
     taken = m.drawn().groupBy("key").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
     s = m.sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = docs.join(taken, "key", "left")
     out = out.join(s, out["source"].eqNullSafe(s["_source"]))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(documents: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """The mix as documents: for each document and epoch, a row whose text is the words drawn, in their order.
+
+    White space behind a word stays with it, so a document drawn whole keeps its text as it is; n_chars is renewed.
+    Documents without words are not drawn.
+    """
+    repeated = documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    keyed = documents.withColumn("_key", F.col("doc_id").cast("bigint")) if repeated.isEmpty() else written(documents.withColumn("_key", F.monotonically_increasing_id()), "mix-texts")
+    docs = written(measured(keyed, F.col("_key")), "mix-docs")
+    parts = Mixture(docs, block, shards).drawn().groupBy("key", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts"), F.sum(F.col("end") - F.col("begin")).alias("_taken"))
+    parts = parts.join(docs.select("key", "size"), "key").select(F.col("key").alias("_key"), (F.col("_taken") == F.col("size")).alias("_whole"), "_parts")
+    words = F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.expr("array_join(flatten(transform(_parts, p -> slice(_words, cast(p.begin as int) + 1, cast(p.end - p.begin as int)))), '')")
+    out = keyed.join(parts, "_key").withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*documents.columns)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, mixture, secretscan, shards, tokencount, topk, toxicity
+from . import bpe, jaccard, media, mixture, repeats, secretscan, shards, tokencount, topk, toxicity
 from .common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_token_counts, op4_jaccard, op5_media, op6_mixture, op7_toxicity, op8_shards, op9_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_topk, op3_token_counts, op4_jaccard, op5_media, op6_mixture, op7_toxicity, op8_shards, op9_secrets, op10_bpe)}
 
 ORACLE_SQL = {
     "op2_topk": """
