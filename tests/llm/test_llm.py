@@ -1,0 +1,300 @@
+"""Operators against brute force, on fixtures with nulls, blanks, ties, copies and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexispark.llm import bpe, common, jaccard, media, mixture, queries, repeats, secretscan, shards, stages, tokencount, topk, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def prose(r, n):
+    return " ".join(r.choice("abcdefghij") * r.randint(1, 3) + r.choice("xyz") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(3)
+    base, passage = prose(r, 300), prose(r, 120)
+    near = base.split()
+    near[150] = "changed"
+    return [base, base, " ".join(near), passage, f"{prose(r, 60)} {passage} {prose(r, 80)}", f"{passage}\n{prose(r, 90)}", None, "", " \n", "one two", "one  TWO", "é" * 500, "ab" * 600, "x" * 900, prose(r, 2000), "<|endoftext|> it's 'LL\x1c!! 日本 😀  \n end"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, [None, "s1", "s2", "s10"][i % 4], "en", i, 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, size int")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def brute_repeats(texts):
+    raw = [(t or "").encode() for t in texts]
+    n = Counter(b[p : p + 400] for b in raw for p in range(len(b) - 399))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 399):
+            if n[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        out.append((len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats(docs, texts, empty):
+    got = by_id(repeats.without_repeats(docs))
+    for i, want in enumerate(brute_repeats(texts)):
+        assert tuple(got[i])[1:] == want, i
+    assert repeats.without_repeats(empty).count() == 0
+
+
+def test_crowded_meetings(spark, monkeypatch):
+    r = random.Random(4)
+    passage = prose(r, 110)
+    texts = [f"{prose(r, 9)} {passage[: r.randint(300, len(passage))]} {prose(r, 20)}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats(texts)
+    for most in (200, 5):
+        monkeypatch.setattr(repeats, "MOST", most)
+        got = by_id(repeats.without_repeats(df))
+        assert [tuple(got[i])[1:] for i in range(len(texts))] == want
+
+
+def test_intervals():
+    s = sorted(["abcx", "abcy", "abz", "b", "b"])
+    lcp = [len(a) - len(a[next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b))) :]) for a, b in zip(s, s[1:], strict=False)]
+    assert set(repeats.intervals(lcp)) == {(3, 0, 1), (2, 0, 2), (1, 3, 4), (0, 0, 4)}
+
+
+def test_top_k(spark):
+    r = np.random.RandomState(1)
+    x = r.randn(300, 8).astype("float32")
+    x[100:180] = x[100]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1050, [None] * 8, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (50, x[3].tolist(), 2)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
+    ids = np.array([*range(300), 50])
+    v = np.floor(np.vstack([x, x[3]]).astype(float) * 256)
+    seen = {}
+    for g in got:
+        seen.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
+    for q in range(0, 300, 50):
+        if q == 50:
+            continue
+        s = v @ v[q]
+        want = sorted((-int(a), int(i)) for a, i in zip(s, ids, strict=True) if i != q)[:5]
+        assert [(i, -a) for a, i in want] == [(i, a) for _, i, a in sorted(seen[q])]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def brute_tokens(m, word):
+    w = tokencount.MARK + word
+    best = [(0, 0)]
+    for e in range(1, len(w) + 1):
+        n = len(w[e - 1].encode())
+        best.append(max([(best[e - 1][0] + n * m.unknown, best[e - 1][1] - n), *((best[s][0] + m.scores[w[s:e]], best[s][1] - 1) for s in range(max(0, e - m.longest), e) if w[s:e] in m.scores)]))
+    return -best[-1][1]
+
+
+def test_token_counts(docs, texts):
+    m = tokencount.PrefixCounts(["▁a", "a", "b", "ab", "▁", "xx", "x", "é", "éé"])
+    for t in texts:
+        words = (t or "").encode().split()
+        assert m.counts([t]) == [(len(words), sum(brute_tokens(m, w.decode()) for w in words))]
+    got = by_id(tokencount.token_counts(docs))
+    assert (got[6].n_tokens, got[7].n_tokens, got[8].n_pretokens) == (0, 0, 0)
+
+
+def brute_components(texts):
+    def shingles(t):
+        w = tuple((t or "").encode().lower().split())
+        return {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    return sets, comp
+
+
+def test_jaccard(spark, docs, texts, empty, monkeypatch):
+    sets, comp = brute_components(texts)
+    got = by_id(jaccard.similar_documents(docs))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, comp, strict=True)]
+    assert jaccard.similar_documents(empty).count() == 0
+    r = random.Random(8)
+    many = []
+    for _ in range(4):
+        base = prose(r, r.choice([12, 40, 90, 200])).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randint(0, len(w) // 12)):
+                w[r.randrange(len(w))] = r.choice("pqrst") * 3
+            many.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    got = by_id(jaccard.similar_documents(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert [got[i].component_id for i in range(len(many))] == brute_components(many)[1]
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_media(docs, texts, spark):
+    got = by_id(media.text_digests(docs))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        g = got[i]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    big = media.write_container(bytes(range(256)) * 1024)
+    bad = spark.createDataFrame([(0, bytearray(big), "a"), (1, None, "b"), (2, bytearray(b"junk junk junk"), "c"), (3, bytearray(big[:700]), "d")], "i int, media binary, status string")
+    rows = {r.i: r for r in media.media_columns(bad).collect()}
+    assert [rows[i].status for i in range(4)] == ["ok", "empty", "malformed", "malformed"]
+    assert rows[0].codec == "raw " and rows[0].duration == 256 * 1024 and big[rows[0].keyframes[1].offset :][:64] == (bytes(range(256)) * 1024)[64 * 16 :][:64]
+
+
+def test_mixture(spark, docs, texts, empty):
+    got = mixture.mixed(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixture.mixed(docs.repartition(3)).collect()))
+    size = {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
+    by = {}
+    for g in got:
+        assert g["size"] == size[g.doc_id] and g.taken <= 2 * g["size"]
+        by[["", "s1", "s2", "s10"][g.doc_id % 4]] = (g.source_size, g.target)
+    order, w = ["s1", "s10", "s2", ""], dict(zip(["s1", "s10", "s2", ""], [5, 2, 1, 5], strict=True))
+    total, target, live = 1.5 * sum(size.values()), {}, set(order)
+    while True:
+        rest = total - sum(target.values())
+        level = rest / sum(w[s] for s in live)
+        over = {s for s in live if w[s] * level > 2 * by[s][0]}
+        if not over:
+            break
+        target |= {s: 2.0 * by[s][0] for s in over}
+        live -= over
+    target |= {s: w[s] * level for s in live}
+    assert {s: pytest.approx(t) for s, t in target.items()} == {s: by[s][1] for s in order}
+    assert mixture.mixed(empty).count() == 0
+    n = spark.range(500).select(mixture.permuted(F.col("id"), F.lit(500), F.lit("k")).alias("x")).distinct().count()
+    assert n == 500
+    out = mixture.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = Counter()
+    for r in out.collect():
+        words[r.doc_id] += len(r.text.encode().split())
+    assert {g.doc_id: g.taken for g in got if g.taken} == dict(words)
+
+
+def test_toxicity(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r, 40) + (" vile vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(900, None, "s"), (901, "", "s"), (None, "x", "s")], "doc_id long, text string, score string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = {g.doc_id: g for g in toxicity.toxicity(d, lab).collect()}
+    assert len(got) == 303 and all(0 <= g.score <= 1 for g in got.values())
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
+    kept = stages.without_toxic(d, lab)
+    assert kept.columns == d.columns and {g.doc_id for g in kept.filter("doc_id < 300").collect()} == {i for i, _, _ in rows if not got[i].predicted}
+    assert toxicity.toxicity(d.limit(0), lab).count() == 0
+
+
+def test_shards(spark, docs, texts, empty):
+    r = random.Random(1)
+    for n in (1, 3, 7):
+        sizes = [r.randint(0, 20) for _ in range(12)]
+        ends = shards.minimax_cuts(np.array(sizes), n)
+        worst = max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+
+        def best(at, k):
+            return sum(sizes[at:]) if k == 1 else min(max(sum(sizes[at:e]), best(e, k - 1)) for e in range(at, 13))  # noqa: B023
+
+        assert ends[-1] == 12 and worst == best(0, n)
+    got = shards.sharded(docs).collect()
+    assert len(got) == len(texts)
+    at = {g.doc_id: g for g in got}
+    assert at[0].shard == at[1].shard and at[6]["size"] == 8 and at[2].text_crc32 == zlib.crc32(texts[2].encode())
+    for s in {g.shard for g in got}:
+        assert sorted(g.slot for g in got if g.shard == s) == list(range(sum(g.shard == s for g in got)))
+    assert shards.sharded(empty).count() == 0
+
+
+def test_secrets(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(0, f'a token = "{key}" b', "s"), (1, "nothing here", None), (2, None, None), (3, "card 4111111111111111 and the commit 3f786850e387550fdab836ed7e6dc881de23001b done", "s"), (4, f"{key} password={key}", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(g.doc_id, g.start): g for g in secretscan.scanned(d).collect()}
+    for (i, at), g in got.items():
+        assert rows[i][1][at : at + g.length] == g.finding
+    assert {(0, 11), (3, 5), (3, 37), (4, 0)} <= set(got)
+    assert got[0, 11].is_secret and got[0, 11].finding == key and not got[3, 5].is_secret and not got[3, 37].is_secret
+    clean = {g.doc_id: g.text for g in secretscan.redacted(d).collect()}
+    assert clean[0] == f'a token = "{secretscan.MASK}" b' and clean[1] == "nothing here" and clean[2] is None and clean[3] == rows[3][1]
+
+
+def test_bpe(docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    got = by_id(bpe.encoded(docs))
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    r = random.Random(1)
+    c = bpe.codec(bpe.default_path())
+    parts = ["<|endoftext|>", "'ll", " ", "  ", "\n", " ", "\x1c", "don't", "é", "日本語", "!!", "123", "x" * 30, "😀", "'"]
+    for _ in range(300):
+        s = "".join(r.choice(parts) for _ in range(r.choice([5, 60, 700])))
+        assert c.encode(s).tolist() == t.encode(s, add_special_tokens=False).ids
+
+
+def test_near_copies_stage(docs, texts):
+    kept = stages.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    comp = brute_components(texts)[1]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, duck, name):
+    from conftest import same
+
+    same(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name]))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, common.written(stage(spark, docs, SF), name)
+        assert docs.schema.simpleString() == before.schema.simpleString()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() > 0
