@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 
-def parts_for(df: DataFrame, entries: int, per_part: int = 1 << 20) -> int:
+def parts_for(df: DataFrame, entries: int, per_part: int = 1 << 19) -> int:
     """As many parts as shuffle partitions, and more where a part would hold over per_part entries."""
     return max(shuffle_partitions(df.sparkSession), -(-entries // per_part))
 
@@ -20,7 +20,7 @@ def parts_for(df: DataFrame, entries: int, per_part: int = 1 << 20) -> int:
 class Packer:
     """Collects columns of entries (arrays whose first axis is the entry) and gives them out by part of the key, the first column."""
 
-    def __init__(self, parts: int, names: list[str], most: int = 64 << 20) -> None:
+    def __init__(self, parts: int, names: list[str], most: int = 12 << 20) -> None:
         self.parts, self.names, self.most = parts, names, most
         self.held: list[tuple[np.ndarray, ...]] = []
         self.bytes = 0
@@ -63,7 +63,11 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[np.dtype]) -> list[n
     for b in batches:
         for i in range(len(kinds)):
             got[i] += b.column(i + 1).to_pylist()
-    return [np.frombuffer(b"".join(g), k) for g, k in zip(got, kinds, strict=True)]
+    out = []
+    for g, k in zip(got, kinds, strict=True):
+        out.append(np.frombuffer(b"".join(g), k))
+        g.clear()
+    return out
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

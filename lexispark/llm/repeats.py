@@ -204,11 +204,11 @@ def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
     """(text_key, spans) from the meetings of anchors; docs: (text, places, crowded, text_key), one row for each text."""
     reach = LENGTH - GRAM
-    parts = parts_for(docs, n_anchors, 1 << 18)
+    parts = parts_for(docs, n_anchors, 1 << 16)
     names = ["keys", "texts", "places", "left", "right", "n_left", "n_right"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, packer = Rolling(), Packer(parts, names, 32 << 20)
+        roll, packer = Rolling(), Packer(parts, names)
         back, on = -1 - np.arange(reach), np.arange(reach)
         for b in batches:
             for text, places, crowded, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -219,12 +219,12 @@ def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
                 at = np.unique(at[np.frombuffer(crowded, np.uint8) == 0])
                 x = np.frombuffer(raw, np.uint8)
                 h = roll.at(roll.sums(x), at, GRAM)
-                for a in range(0, len(at), 20_000):
-                    p = at[a : a + 20_000]
+                for a in range(0, len(at), 5_000):
+                    p = at[a : a + 5_000]
                     n_left, n_right = np.minimum(p, reach), np.minimum(len(x) - p - GRAM, reach)
                     left = x[np.maximum(p[:, None] + back, 0)] * (back >= -n_left[:, None])
                     right = x[np.minimum(p[:, None] + GRAM + on, len(x) - 1)] * (on < n_right[:, None])
-                    yield from packer.add(h[a : a + 20_000], np.full(len(p), key, np.int64), p.astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), n_left.astype(np.uint8), n_right.astype(np.uint8))
+                    yield from packer.add(h[a : a + 5_000], np.full(len(p), key, np.int64), p.astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), n_left.astype(np.uint8), n_right.astype(np.uint8))
         yield from packer.flush()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +236,8 @@ def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
         starts, ends = runs(keys)
         far_left, far_right = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
         two = starts[ends - starts == 2]  # one interval of two members each
-        for a in range(0, len(two), 50_000):
-            i = two[a : a + 50_000]
+        for a in range(0, len(two), 10_000):
+            i = two[a : a + 10_000]
             r, l = common_prefix(right, n_right, i, i + 1), common_prefix(left, n_left, i, i + 1)
             good = l + r >= reach
             for m in (i[good], i[good] + 1):
