@@ -6,7 +6,7 @@ hold everything. The shingle universe is therefore cut into slices by hash, each
 of the slices' distances. With more slices than H may be, a linked pair agrees in a slice that is not empty, so each
 document lies in a region at distance 0 of a pivot in one of its first H + 1 slices. Sizes are cut in rings
 around the empty set; a document whose window reaches the next ring is replicated there. The pivot of a region is its
-least set. Within regions, triangle inequalities to the empty pivot of 128 coarse slices bound H from below. Sets are
+least set. Within regions, triangle inequalities to the empty pivot of 512 coarse slices bound H from below. Sets are
 first compared with the nearest pivot they share a region with; regions that this leaves in several components are
 joined exactly, large ones in pairs of chunks. Nothing is dropped: each step keeps every pair that may be linked.
 """
@@ -26,7 +26,7 @@ from .packed import Packer, by_part, grouped, parts_for, runs, schema, unpacked
 
 WIDTH = 5
 PERCENT = 80
-COARSE = 128
+COARSE = 512
 SMALL_RING = 5
 CHUNK = 128
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +58,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
 
 
 def most_apart(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -202,16 +202,19 @@ def may_link(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Of each block, sorted and kept together, the nodes that may be linked across components."""
+    """Of each block, sorted and kept together, the pairs that may be linked across components: a < b, and the block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["pivot", "lo", "hi"]):
             i, j = may_link(t, percent)
             if len(i):
-                t = t.take(pa.array(np.unique(np.concatenate([i, j])))).select(["pivot", "lo", "hi", "chunk", "node", "comp", "n", "hist"])
-                yield from t.combine_chunks().to_batches()
+                node = t.column("node").to_numpy()
+                x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                k = len(x)
+                block = [pa.array(np.full(k, t.column(c)[0].as_py(), kind)) for c, kind in (("pivot", np.int64), ("lo", np.int32), ("hi", np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *block], names=["a", "b", "pivot", "lo", "hi"])
 
-    return blocks.mapInArrow(rows, blocks.select("pivot", "lo", "hi", "chunk", "node", "comp", "n", "hist").schema)
+    return blocks.mapInArrow(rows, "a bigint, b bigint, pivot bigint, lo int, hi int")
 
 
 def joined_blocks(blocks: DataFrame, percent: int) -> DataFrame:
@@ -303,8 +306,11 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     block = open_.join(split, "pivot").join(nodes.select("node", "n", "hist"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = block.select("pivot", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "hist")
     together = lambda df: df.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "chunk", "node")
-    close = written(near_blocks(together(block), percent), "blocks")
+    # a pair meets at several pivots; it is settled at the least, so that a set goes to few blocks
+    pairs = near_blocks(together(block), percent).groupBy("a", "b").agg(F.min(F.struct("pivot", "lo", "hi")).alias("at"))
+    close = written(pairs.select("at.*", F.explode(F.array("a", "b")).alias("node")).distinct(), "blocks")
     if not close.isEmpty():
+        close = close.join(block, ["pivot", "lo", "hi", "node"])
         more = sets_of(known, nodes, close.select("node").distinct())
         links2 = joined_blocks(together(close.join(more, "node")), percent)
         comp = components(links.unionByName(written(links2, "links")), "all-components")
