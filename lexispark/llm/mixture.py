@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, shuffle_partitions, written
 
 BLOCK = 128
 SHARDS = 64
@@ -85,7 +85,7 @@ class Mixture:
     def slots(self) -> DataFrame:
         """Every output slot: source, slot, epoch, block index, shard. Ranges of slots are made from pieces of at most 10,000."""
         s = self.sources.filter("slots > 0").select("source", "n_blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 10_000))).alias("piece"))
-        s = s.repartition(F.col("source"), F.col("piece")).select("source", "n_blocks", F.explode(F.sequence(F.col("piece") * 10_000, F.least(F.col("slots"), F.col("piece") * 10_000 + 10_000) - 1)).alias("slot"))
+        s = s.repartition(shuffle_partitions(s.sparkSession), "source", "piece").select("source", "n_blocks", F.explode(F.sequence(F.col("piece") * 10_000, F.least(F.col("slots"), F.col("piece") * 10_000 + 10_000) - 1)).alias("slot"))
         s = s.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")))
         x = F.pmod("slot", F.col("n_blocks"))
         return s.select(
@@ -105,7 +105,8 @@ class Mixture:
             F.greatest(F.lit(0), F.col("block") * self.block - F.col("start")).alias("begin"), F.least(F.col("size"), (F.col("block") + 1) * self.block - F.col("start")).alias("end"),
         )
         slots = self.slots().withColumn("t", F.xxhash64("source"))
-        return parts.join(slots, (parts["s"] == slots["t"]) & (parts["_block"] == slots["block"]) & parts["_source"].eqNullSafe(slots["source"])).select("key", "shard", "slot", "epoch", "begin", "end")
+        # the slots grow with the corpus though their pieces look small: sort-merge, no broadcast
+        return parts.join(slots.hint("merge"), (parts["s"] == slots["t"]) & (parts["_block"] == slots["block"]) & parts["_source"].eqNullSafe(slots["source"])).select("key", "shard", "slot", "epoch", "begin", "end")
 
 
 def measured(documents: DataFrame, key: Column) -> DataFrame:
