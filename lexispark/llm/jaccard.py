@@ -4,8 +4,8 @@ Distance here is the size H of the symmetric difference; Jaccard similarity of T
 Distances between unrelated documents are all nearly the greatest possible, so regions around whole documents would
 hold everything. The shingle universe is therefore cut into slices by hash, each a metric space of its own; H is the sum
 of the slices' distances. With more slices than H may be, a linked pair agrees in a slice that is not empty, so each
-document lies in a region at distance 0 of a pivot in one of its first H + 1 slices. Sizes are cut in rings
-around the empty set; a document whose window reaches the next ring is replicated there. The pivot of a region is its
+document lies in a region at distance 0 of a pivot in one of its first H + 1 slices. Sizes are cut in narrow rings
+around the empty set, each with as few slices as that allows; a document whose window reaches the next ring is replicated there. The pivot of a region is its
 least set. Within regions, triangle inequalities to the empty pivot of 512 coarse slices bound H from below. Sets are
 first compared with the nearest pivot they share a region with; regions that this leaves in several components are
 joined exactly, large ones in pairs of chunks. Nothing is dropped: each step keeps every pair that may be linked.
@@ -13,6 +13,9 @@ joined exactly, large ones in pairs of chunks. Nothing is dropped: each step kee
 
 from __future__ import annotations
 
+import bisect
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,8 @@ from .packed import Packer, by_part, grouped, parts_for, runs, schema, unpacked
 WIDTH = 5
 PERCENT = 80
 COARSE = 512
-SMALL_RING = 5
+SMALL = 40  # sets of smaller rings go by their first shingles instead of slices
+SPARE = 8
 CHUNK = 128
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,17 +74,47 @@ def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
     return 100 * both >= percent * (a + b - both)
 
 
+@functools.cache
+def rings(percent: int, upto: int) -> tuple[int, ...]:
+    """Least sizes of the rings; each is so wide that a set's partners of its size or more lie in its own ring or the next."""
+    edges = [1]
+    while edges[-1] <= upto:
+        edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
+    return tuple(edges)
+
+
+@functools.cache
+def slices(least: int, end: int, percent: int) -> int:
+    """The fewest slices for a ring in which sets of all its sizes fill more slices than H may be, by SPARE standard deviations.
+
+    0 where no count does that at a few slices a shingle (small sets, low percentages); such a ring goes by first shingles.
+    Few slices hold many shingles each, so that unrelated sets with a passage in common seldom agree in one.
+    """
+    sizes = [-(-least * percent // 100), least, end - 1]
+    count = most_apart(end - 1, end - 1, percent) + 1
+
+    def filled(n: int) -> float:
+        load = n / count
+        return count * (1 - math.exp(-load)) - SPARE * math.sqrt(count * (math.exp(-load) - (1 + load) * math.exp(-2 * load)))
+
+    while least >= SMALL and count <= 4 * end:
+        if all(filled(n) >= most_apart(n, min(100 * n // percent, end - 1), percent) + 1 for n in sizes):
+            return count
+        count += 1 + count // 64
+    return 0
+
+
 def region_keys(s: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """Keys of the regions of a set, for its ring and, if its window reaches it, the next one."""
-    n = len(s)
-    ring = n.bit_length() - 1
-    partner = 100 * n // percent
-    for r in (ring, ring + 1) if partner >> ring + 1 else (ring,):
-        need = most_apart(n, min(partner, (1 << r + 1) - 1), percent) + 1
-        if r < SMALL_RING:
+    n, partner = len(s), 100 * len(s) // percent
+    edges = rings(percent, 1 << (2 * partner).bit_length() + 1)
+    ring = bisect.bisect_right(edges, n) - 1
+    for r in (ring, ring + 1) if partner >= edges[ring + 1] else (ring,):
+        need = most_apart(n, min(partner, edges[r + 1] - 1), percent) + 1
+        count = slices(edges[r], edges[r + 1], percent)
+        if not count:
             keys = s[:need].copy()
         else:
-            count = (1 << r + 1) * 4 // 10 if r > SMALL_RING else 1 << r
             piece = (s >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
             starts, _ = runs(piece)
             if len(starts) < need:
@@ -292,7 +326,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     profile = written(profiles(docs), "profiles")
     nodes = written(profile.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hist").alias("hist")), "nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cand = written(regions(known, int(total * 0.35), percent), "regions")
+    cand = written(regions(known, int(total * 0.5), percent), "regions")
     side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
     star = cand.filter("pivot <> node").join(side("node", "a"), "node").join(side("pivot", "b"), "pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "na", "nb", "ha", "hb")
     star = written(bounded(star, percent).groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "star")
