@@ -7,8 +7,10 @@ of the slices' distances. With more slices than H may be, a linked pair agrees i
 document lies in a region at distance 0 of a pivot in one of its first H + 1 slices. Sizes are cut in narrow rings
 around the empty set, each with as few slices as that allows; a document whose window reaches the next ring is replicated there. The pivot of a region is its
 least set. Within regions, triangle inequalities to the empty pivot of 512 coarse slices bound H from below. Sets are
-first compared with the nearest pivot they share a region with; regions that this leaves in several components are
-joined exactly, large ones in pairs of chunks. Nothing is dropped: each step keeps every pair that may be linked.
+first compared with the nearest pivot they share a region with; of regions that this leaves in several components,
+crowded ones are joined again by themselves: their sets share passages, so they go by their rarest shingles, of which a
+linked pair shares one among the first H + 1, too, in any order that holds for all sets. What is left open is joined
+exactly, large regions in pairs of chunks. Nothing is dropped: each step keeps every pair that may be linked.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ COARSE = 512
 SMALL = 40  # sets of smaller rings go by their first shingles instead of slices
 SPARE = 8
 CHUNK = 128
+FREQUENT = 16  # shingles of more sets than this count as common in crowded regions
+MOST_FREQUENT = 1 << 18  # common shingles that are told to all tasks; a list of the most common ones is as exact as any
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,16 +108,16 @@ def slices(least: int, end: int, percent: int) -> int:
     return 0
 
 
-def region_keys(s: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Keys of the regions of a set, for its ring and, if its window reaches it, the next one."""
+def region_keys(s: np.ndarray, percent: int, ordered: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Keys of the regions of a set, for its ring and, if its window reaches it, the next one: by slices or, if given, by the first of its ordered shingles."""
     n, partner = len(s), 100 * len(s) // percent
     edges = rings(percent, 1 << (2 * partner).bit_length() + 1)
     ring = bisect.bisect_right(edges, n) - 1
     for r in (ring, ring + 1) if partner >= edges[ring + 1] else (ring,):
         need = most_apart(n, min(partner, edges[r + 1] - 1), percent) + 1
-        count = slices(edges[r], edges[r + 1], percent)
+        count = slices(edges[r], edges[r + 1], percent) if ordered is None else 0
         if not count:
-            keys = s[:need].copy()
+            keys = (s if ordered is None else ordered)[:need].copy()
         else:
             piece = (s >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
             starts, _ = runs(piece)
@@ -140,23 +144,8 @@ def profiles(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, hist binary")
 
 
-def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
-    """(pivot, node) of every region that holds two sets or more, the pivot with itself included."""
-    parts = parts_for(documents, entries)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer, met = WordHashes(), Packer(parts, ["keys", "nodes"]), set()
-        for b in batches:
-            for text in b.column(1).to_pylist():
-                s = shingles(text, hashes)
-                node = node_of(s) if len(s) else None
-                if node is None or node in met:
-                    continue
-                if len(met) < 1_000_000:
-                    met.add(node)
-                for keys in region_keys(s, percent):
-                    yield from packer.add(keys, np.full(len(keys), node, np.int64))
-        yield from packer.flush()
+def met_regions(packed: DataFrame, parts: int) -> DataFrame:
+    """(pivot, node) of every region that holds two sets or more, the pivot with itself included; packed: keys and nodes."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = unpacked(batches, [np.uint64, np.int64])
@@ -176,10 +165,79 @@ def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
         for a in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], names=["pivot", "node"])
 
-    packed = documents.mapInArrow(keyed, schema(["keys", "nodes"]))
     return by_part(packed, parts).mapInArrow(gathered, "pivot bigint, node bigint").distinct()
 
 
+def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
+    """(pivot, node) of the regions of all documents, by slices."""
+    parts = parts_for(documents, entries)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, packer, met = WordHashes(), Packer(parts, ["keys", "nodes"]), set()
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                s = shingles(text, hashes)
+                node = node_of(s) if len(s) else None
+                if node is None or node in met:
+                    continue
+                if len(met) < 1_000_000:
+                    met.add(node)
+                for keys in region_keys(s, percent):
+                    yield from packer.add(keys, np.full(len(keys), node, np.int64))
+        yield from packer.flush()
+
+    return met_regions(documents.mapInArrow(keyed, schema(["keys", "nodes"])), parts)
+
+
+def common_shingles(sets: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the most sets, sorted, and their numbers of sets: those of over FREQUENT sets or, so that no more than MOST_FREQUENT are, of a multiple of that."""
+    parts = parts_for(sets, entries)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts, ["keys"])
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                yield from packer.add(np.frombuffer(x, np.uint64))
+        yield from packer.flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.sort(unpacked(batches, [np.uint64])[0])
+        starts, ends = runs(keys)
+        often = ends - starts > FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(keys[starts[often]].view(np.int64)), pa.array((ends - starts)[often])], names=["shingle", "often"])
+
+    found = written(by_part(sets.mapInArrow(keyed, schema(["keys"])), parts).mapInArrow(counted, "shingle bigint, often bigint"), "common")
+    least = FREQUENT
+    while found.filter(F.col("often") > least).count() > MOST_FREQUENT:
+        least *= 2
+    t = found.filter(F.col("often") > least).toArrow()
+    shingle, often = t.column("shingle").to_numpy().view(np.uint64), t.column("often").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], often[order]
+
+
+def inner_regions(sets: DataFrame, entries: int, percent: int) -> DataFrame:
+    """(pivot, node) of the regions of the sets (node, set), by their rarest shingles."""
+    parts = parts_for(sets, entries)
+    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets, entries))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts, ["keys", "nodes"])
+        shingle, often = common.value
+        for b in batches:
+            for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                ordered = s
+                if len(shingle):
+                    at = np.minimum(np.searchsorted(shingle, s), len(shingle) - 1)
+                    ordered = s[np.argsort(np.where(shingle[at] == s, often[at], 0), kind="stable")]
+                for keys in region_keys(s, percent, ordered):
+                    yield from packer.add(keys, np.full(len(keys), node, np.int64))
+        yield from packer.flush()
+
+    return met_regions(sets.mapInArrow(keyed, schema(["keys", "nodes"])), parts)
+
+
 def counts_of(binary: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(binary.to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16)
 
@@ -315,6 +373,23 @@ def sets_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
     return written(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
+def star_links(cand: DataFrame, known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets with the nearest pivot that they share a region with."""
+    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
+    star = cand.filter("pivot <> node").join(side("node", "a"), "node").join(side("pivot", "b"), "pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "na", "nb", "ha", "hb")
+    star = written(bounded(star, percent).groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "star")
+    sets = sets_of(known, nodes, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct())
+    near = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return written(compared(near, percent), "links")
+
+
+def open_regions(cand: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cand with the components of its nodes, and of the regions that lie in several the pivot and size g."""
+    open_ = cand.join(comp, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
+    split = open_.groupBy("pivot").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g")).filter("c0 <> c1").select("pivot", "g")
+    return open_, split
+
+
 def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -327,16 +402,21 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     nodes = written(profile.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hist").alias("hist")), "nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cand = written(regions(known, int(total * 0.5), percent), "regions")
-    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
-    star = cand.filter("pivot <> node").join(side("node", "a"), "node").join(side("pivot", "b"), "pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "na", "nb", "ha", "hb")
-    star = written(bounded(star, percent).groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "star")
-    sets = sets_of(known, nodes, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct())
-    near = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = written(compared(near, percent), "links")
+    links = star_links(cand, known, nodes, percent)
     comp = components(links, "star-components")
+    open_, split = open_regions(cand, comp)
+    crowd = written(split.filter(F.col("g") > CHUNK).select("pivot"), "crowded")
+    if not crowd.isEmpty():
+        # pairs of a crowded region meet again among all sets of such regions, by their rarest shingles
+        inside = sets_of(known, nodes, cand.join(crowd, "pivot", "left_semi").select("node").distinct())
+        held = inside.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
+        inner = written(inner_regions(inside, held, percent), "inner-regions")
+        links = links.unionByName(star_links(inner, known, nodes, percent))
+        comp = components(links, "inner-components")
+        cand = written(cand.join(crowd, "pivot", "left_anti").select("pivot", "node").unionByName(inner).distinct(), "open-regions")
+        open_, split = open_regions(cand, comp)
     # regions left in several components, in blocks of chunk pairs
-    open_ = cand.join(comp, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
-    split = open_.groupBy("pivot").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g")).filter("c0 <> c1").select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("chunks"))
+    split = split.select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("chunks"))
     block = open_.join(split, "pivot").join(nodes.select("node", "n", "hist"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = block.select("pivot", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "hist")
     together = lambda df: df.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "chunk", "node")

@@ -153,6 +153,24 @@ def test_jaccard(spark, docs, texts, empty, monkeypatch):
     assert [got[i].component_id for i in range(len(many))] == brute_components(many)[1]
 
 
+def test_jaccard_crowded(spark, monkeypatch):
+    """Documents that share a long passage, few of them linked, are joined exactly with any list of common shingles."""
+    r = random.Random(9)
+    passage = prose(r, 120)
+    many = []
+    for _ in range(40):
+        own = prose(r, r.choice([20, 45, 70])).split()
+        for _ in range(r.choice([1, 1, 3])):
+            w = list(own)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice("pqrst") * 3
+            many.append(f"{passage} {' '.join(w)}")
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 3)
+    got = by_id(jaccard.similar_documents(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert [got[i].component_id for i in range(len(many))] == brute_components(many)[1]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)]
