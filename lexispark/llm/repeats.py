@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, mix64, written
+from .common import fits_broadcast, mix64, small_batches, written
 from .packed import Packer, by_part, parts_for, runs, schema, unpacked
 
 LENGTH = 400
@@ -294,6 +294,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
     Rows of equal doc_id are documents of their own: equal texts repeat each other, whatever their ids.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     profile = written(profiles(docs), "profiles")
     groups = written(profile.filter(F.col("n_bytes") >= LENGTH).groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_bytes").alias("rep_bytes")), "texts")
