@@ -1,7 +1,9 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-The words of a source, its documents in a pseudorandom order, are packed into blocks of a fixed number of words. Every
-source gets whole output slots for its target. The slots of a source fall to output shards independently, so a shard's
+The words of a source, its documents in a pseudorandom order, are packed into blocks of a fixed number of words; the
+last block holds the rest. Every source gets as many output slots as its target in whole words takes: all blocks for each
+epoch the target fills, then blocks until the target is met, the last one drawn cut to the words still missing. So a
+source's words are its target, rounded, whatever its size. The slots of a source fall to output shards independently, so a shard's
 counts by source are multinomial, given that each source meets its target; a slot is mapped to a block by a pseudorandom
 permutation of the source's block indices (swap-or-not, Hoang, Morris and Rogaway 2012), a new one for each epoch, and
 blocks are joined by index. A block is taken at most once per epoch.
@@ -27,15 +29,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """x's image under a pseudorandom permutation of 0 .. n-1; every round is a swap-or-not, an involution on the range."""
+def permuted(x: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """x's image under a pseudorandom permutation of 0 .. n-1; every round is a swap-or-not, an involution on the range.
+
+    back gives the inverse: the same rounds from the last to the first.
+    """
 
     def step(v: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(*key, r, F.lit(SEED)), n) - v, n)
         bit = F.xxhash64(*key, r, F.greatest(v, partner)).bitwiseAND(F.lit(1))
         return F.when(bit == 1, partner).otherwise(v)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, step)
+    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(rounds, x, step)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -65,9 +71,13 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> None:
         self.block, self.shards = block, shards
-        self.sources = written(
-            targets(docs).withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("bigint")).withColumn("slots", F.least(F.round(F.col("target") / block).cast("bigint"), F.col("n_blocks") * CAP)), "mix-sources"
-        )
+        s = targets(docs).withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("bigint")).withColumn("words", F.round("target").cast("bigint"))
+        # whole epochs, the words of the epoch after them, and the place of the last, short block in that epoch
+        s = s.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
+        s = s.withColumn("rest", F.col("words") - F.col("full") * F.col("source_size")).withColumn("missing", F.col("n_blocks") * block - F.col("source_size"))
+        s = s.withColumn("short_at", F.when(F.col("rest") > 0, permuted(F.col("n_blocks") - 1, F.col("n_blocks"), F.xxhash64("source"), F.col("full"), back=True)))
+        last = F.when(F.col("rest") > 0, F.ceil((F.col("rest") + F.when(F.col("rest") > F.col("short_at") * block, F.col("missing")).otherwise(F.lit(0))) / block)).otherwise(F.lit(0)).cast("bigint")
+        self.sources = written(s.withColumn("slots", F.col("full") * F.col("n_blocks") + last), "mix-sources")
         counted = docs.filter("size > 0").withColumn("bucket", F.xxhash64("place", F.lit(SEED)))
         n = written(docs.filter("size > 0").groupBy("source").agg(F.ceil(F.count("*") / ROWS_PER_BUCKET).cast("bigint").alias("buckets")), "mix-buckets")
         same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -83,13 +93,16 @@ class Mixture:
         self.placed = placed
 
     def slots(self) -> DataFrame:
-        """Every output slot: source, slot, epoch, block index, shard. Ranges of slots are made from pieces of at most 10,000."""
-        s = self.sources.filter("slots > 0").select("source", "n_blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 10_000))).alias("piece"))
-        s = s.repartition(shuffle_partitions(s.sparkSession), "source", "piece").select("source", "n_blocks", F.explode(F.sequence(F.col("piece") * 10_000, F.least(F.col("slots"), F.col("piece") * 10_000 + 10_000) - 1)).alias("slot"))
+        """Every output slot: source, slot, epoch, block index, words it may take, shard. Ranges of slots are made from pieces of at most 10,000."""
+        held = ["source", "n_blocks", "full", "rest", "missing", "short_at"]
+        s = self.sources.filter("slots > 0").select(*held, "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 10_000))).alias("piece"))
+        s = s.repartition(shuffle_partitions(s.sparkSession), "source", "piece").select(*held, F.explode(F.sequence(F.col("piece") * 10_000, F.least(F.col("slots"), F.col("piece") * 10_000 + 10_000) - 1)).alias("slot"))
         s = s.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")))
         x = F.pmod("slot", F.col("n_blocks"))
+        before = x * self.block - F.when(x > F.col("short_at"), F.col("missing")).otherwise(F.lit(0))
+        words = F.when(F.col("epoch") < F.col("full"), F.lit(self.block)).otherwise(F.least(F.lit(self.block), F.col("rest") - before))
         return s.select(
-            "source", "slot", "epoch", permuted(x, F.col("n_blocks"), F.xxhash64("source"), F.col("epoch")).alias("block"),
+            "source", "slot", "epoch", permuted(x, F.col("n_blocks"), F.xxhash64("source"), F.col("epoch")).alias("block"), words.alias("words"),
             F.pmod(F.xxhash64(F.lit("shard"), "source", "slot", F.lit(SEED)), F.lit(self.shards)).cast("int").alias("shard"),
         )
 
@@ -101,12 +114,14 @@ class Mixture:
         """key, shard, slot, epoch, begin, end: the words begin .. end-1 of a document that a slot takes."""
         parts = self.placed.select("key", "source", "size", "start", F.explode(F.sequence("first", "last")).alias("block"))
         parts = parts.select(
-            "key", F.xxhash64("source").alias("s"), F.col("source").alias("_source"), F.col("block").alias("_block"),
+            "key", "start", F.xxhash64("source").alias("s"), F.col("source").alias("_source"), F.col("block").alias("_block"),
             F.greatest(F.lit(0), F.col("block") * self.block - F.col("start")).alias("begin"), F.least(F.col("size"), (F.col("block") + 1) * self.block - F.col("start")).alias("end"),
         )
         slots = self.slots().withColumn("t", F.xxhash64("source"))
         # the slots grow with the corpus though their pieces look small: sort-merge, no broadcast
-        return parts.join(slots.hint("merge"), (parts["s"] == slots["t"]) & (parts["_block"] == slots["block"]) & parts["_source"].eqNullSafe(slots["source"])).select("key", "shard", "slot", "epoch", "begin", "end")
+        both = parts.join(slots.hint("merge"), (parts["s"] == slots["t"]) & (parts["_block"] == slots["block"]) & parts["_source"].eqNullSafe(slots["source"]))
+        end = F.least(F.col("end"), F.col("block") * self.block + F.col("words") - F.col("start"))
+        return both.select("key", "shard", "slot", "epoch", "begin", end.alias("end")).filter("begin < end")
 
 
 def measured(documents: DataFrame, key: Column) -> DataFrame:

@@ -227,6 +227,33 @@ def test_mixture(spark, docs, texts, empty):
     assert {g.doc_id: g.taken for g in got if g.taken} == dict(words)
 
 
+def test_mixture_words(spark, monkeypatch):
+    """Each source's words are its target, rounded, for sources of 1 to 300 words, of one document or of several."""
+    r = random.Random(12)
+    rows = [(1000 * n + i, "w " * k, f"s{n:03}") for n in range(1, 301) for i, k in enumerate([n] if n % 2 else [n // 2, n - n // 2])]
+    rows += [(900_000, "w " * 5000, "big"), (900_001, "", "none"), (900_002, "w " * 77, None)]
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    want, taken = {}, Counter()
+    for g in mixture.mixed(d).collect():
+        want[source[g.doc_id]] = g.target
+        taken[source[g.doc_id]] += g.taken
+        assert g.taken <= 2 * g["size"]
+    assert {s: abs(taken[s] - t) <= 0.5 for s, t in want.items()} == dict.fromkeys(want, True)
+    out = Counter()
+    for g in mixture.mixed_documents(d).collect():
+        out[g.source] += len(g.text.split())
+    assert +out == +taken
+    for share, block in ((0.2, 128), (1.5, 7)):
+        monkeypatch.setattr(mixture, "SHARE", share)
+        taken, want = Counter(), {}
+        for g in mixture.mixed(d, block=block).collect():
+            want[source[g.doc_id]] = g.target
+            taken[source[g.doc_id]] += g.taken
+        assert all(abs(taken[s] - t) <= 0.5 for s, t in want.items())
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     rows = [(i, prose(r, 40) + (" vile vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
