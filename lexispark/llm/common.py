@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,11 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the session names; a local one only where none is set."""
+    """A fresh path in the shared folder that the session names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")  # one machine: its own folder is shared
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,13 +49,25 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> bool
     return df.count() * row_bytes <= limit
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, row_bytes: int = 40) -> DataFrame:
-    """Rows of df whose key occurs in keys (distinct, written): broadcast if its counted size allows, else shuffled."""
-    return df.join(F.broadcast(keys) if fits_broadcast(keys, row_bytes) else keys, on, "left_semi")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
 
+def with_key(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """docs with a column that tells its rows apart, the column's name, and whether it is the doc_id.
 
-def u64(text_bytes: np.ndarray) -> np.ndarray:
-    return text_bytes.astype(np.uint64)
+    Where a doc_id is missing or repeated, rows are numbered instead, and written, so that a lost executor cannot
+    renumber them.
+    """
+    key, doc_id = fresh(docs, "key"), F.col("doc_id").cast("bigint")
+    if docs.groupBy(doc_id.alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(key, doc_id), key, True
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key, False
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -68,18 +81,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def offsets_in_order(df: DataFrame, group: list[str], bucket: str, amount: Column, name: str) -> DataFrame:
-    """Exclusive running sums of amount over the buckets of each group: (group, bucket, name).
-
-    Only one row per bucket is windowed; the rows of a bucket are summed before the shuffle.
-    """
-    from pyspark.sql import Window
-
-    sums = df.groupBy(*group, bucket).agg(F.sum(amount).alias("_s"))
-    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.select(*group, bucket, (F.sum("_s").over(w) - F.col("_s")).alias(name))
-
-
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
@@ -111,9 +112,3 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         raise RuntimeError("components did not settle")
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def texts(batches: Iterator, column: str = "text") -> Iterator[tuple]:
-    """(batch, list of texts with None as "") of each Arrow batch."""
-    for batch in batches:
-        yield batch, [x or "" for x in batch.column(column).to_pylist()]

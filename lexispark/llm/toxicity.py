@@ -9,14 +9,16 @@ classifier is fitted on at most MOST_ROWS labelled rows, those of the least hash
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix64
+from .common import mix64, small_batches, written
 
 BITS = 20
 MOST_ROWS = 6000
@@ -45,40 +47,50 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique((grams >> np.uint64(64 - BITS)).astype(np.int32))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+class Labelled(NamedTuple):
+    """Labelled rows with the features that enough rows have, flat: row k holds x[at[k] : at[k + 1]], places in `features`."""
+
+    features: np.ndarray
+    x: np.ndarray
+    at: np.ndarray
+    y: np.ndarray
+
+
+def fit(rows: Labelled, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, weights) of the nonzero weights; number 2 ** BITS is the bias, which has no L1 term."""
-    size = (1 << BITS) + 1
+    size = len(rows.features) + 1
     z, n = np.zeros(size), np.zeros(size)
-    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in rows)]), minlength=1 << BITS) >= LEAST_ROWS
-    rows = [(x[often[x]], y) for x, y in rows]
-    epochs = int(np.clip(steps // max(1, len(rows)), 2, 25))
+    epochs = int(np.clip(steps // max(1, len(rows.y)), 2, 25))
     order = np.random.RandomState(7)
     l1 = np.full(size, L1)
     l1[-1] = 0.0
 
-    def weights(i: np.ndarray) -> np.ndarray:
+    def weights(i: np.ndarray | slice) -> np.ndarray:
         zi = z[i]
         w = -(zi - np.sign(zi) * l1[i]) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
         return np.where(np.abs(zi) <= l1[i], 0.0, w)
 
     for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            x, y = rows[k]
-            i = np.append(x, size - 1)
+        for k in order.permutation(len(rows.y)):
+            i = np.append(rows.x[rows.at[k] : rows.at[k + 1]], size - 1)
+            y = rows.y[k]
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             g *= POSITIVE if y else 1.0
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
-    i = np.arange(size)
-    w = weights(i)
+    w = weights(slice(None))
     keep = np.flatnonzero(w)
-    return keep.astype(np.int32), w[keep].astype(np.float32)
+    return np.append(rows.features, 1 << BITS)[keep].astype(np.int32), w[keep].astype(np.float32)
+
 
+def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Labelled:
+    """At most `most` labelled rows outside the held-out fold; a doc_id with several labels takes the largest.
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[tuple[np.ndarray, int]]:
-    """(features, label) of at most `most` labelled rows outside the held-out fold; a doc_id with several labels takes the largest."""
+    Rows of a feature are counted in Spark, and only features of LEAST_ROWS rows or more are sent, as Arrow batches: the
+    driver holds one flat array of at most `most` rows' frequent features (more only where doc_ids repeat).
+    """
     y = labels.filter("doc_id is not null and toxic is not null and pmod(crc32(cast(cast(doc_id as bigint) as string)), 5) <> 0").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     x = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "toxic")
@@ -86,20 +98,35 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            raw = [features(t, hashes).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), b.column(2)], names=["doc_id", "x", "toxic"])
+            rows = [features(t, hashes) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "x", "toxic"])
+
+    small_batches(documents.sparkSession)
+    kept = written(x.mapInArrow(extract, "doc_id bigint, x array<int>, toxic int"), "labelled")
+    often = kept.select(F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("f")
+    known = np.sort(often.toArrow().column("f").to_numpy())  # at most 2 ** BITS
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1)
+            flat, ends = x.flatten().to_numpy(), np.cumsum(x.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            ends = np.append(0, np.append(0, np.cumsum(hit))[ends])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[hit].astype(np.int32))), b.column(2)], names=["doc_id", "x", "toxic"])
 
-    got = x.mapInArrow(extract, "doc_id bigint, x binary, toxic int").collect()  # at most `most` rows but for repeated doc_ids
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return [(np.frombuffer(r["x"], np.int32), r["toxic"]) for r in got]
+    t = kept.orderBy("doc_id", "x").mapInArrow(frequent, "doc_id bigint, x array<int>, toxic int").toArrow()
+    lists = t.column("x").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *lists.chunks])
+    return Labelled(known, lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64), t.column("toxic").to_numpy())
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
-    """doc_id, score of every row (keep_text: all its columns and _score). Null and empty texts score by the bias alone."""
+def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], score_as: str = "_score") -> DataFrame:
+    """documents with a column score_as. Null and empty texts score by the bias alone."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((model[0], model[1]))
-    rows = documents if keep_text else documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    at = rows.columns.index("text")
+    small_batches(spark)
+    at = documents.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -107,16 +134,13 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text
         w[shared.value[0]] = shared.value[1]
         for b in batches:
             s = [1 / (1 + np.exp(-np.clip(float(w[features(t, hashes)].sum(dtype=np.float64)) + float(w[-1]), -35, 35))) for t in b.column(at).to_pylist()]
-            cols = b.columns if keep_text else [b.column(0)]
-            names = b.schema.names if keep_text else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64())], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, score_as])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name == "doc_id")
-    return rows.mapInArrow(score, f"{schema}, _score double")
+    return documents.mapInArrow(score, StructType([*documents.schema.fields, StructField(score_as, DoubleType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Without labelled rows of the other folds every score is 0.5 and predicted 1."""
     model = fit(labelled(documents, labels))
-    out = scored(documents, model)
+    out = scored(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), model)
     return out.select("doc_id", F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
