@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_partitions, written
+from .common import WORD, shuffle_partitions, with_key, written
 
 BLOCK = 128
 SHARDS = 64
 ROWS_PER_BUCKET = 512
+BUCKETS_PER_PAGE = 4096
+PIECE = 10_000
 ROUNDS = 24
 SHARE = 1.5
 CAP = 2
@@ -66,6 +68,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least("l", F.coalesce(F.col("water") * F.col("w"), F.col("l"))).alias("target"))
 
 
+def before_bucket(sums: DataFrame) -> DataFrame:
+    """sums (source, bucket, _s) with base, the sum of the source's buckets before each, in two levels: no task orders all buckets of a source."""
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("page", F.floor(F.col("bucket") / BUCKETS_PER_PAGE))
+    pages = sums.groupBy("source", "page").agg(F.sum("_s").alias("_p")).select(F.col("source").alias("_ps"), F.col("page").alias("_pp"), (F.sum("_p").over(upto("source", "page")) - F.col("_p")).alias("_before"))
+    inside = sums.withColumn("_in", F.sum("_s").over(upto("source", "page", "bucket")) - F.col("_s"))
+    return inside.join(pages, inside["source"].eqNullSafe(pages["_ps"]) & (inside["page"] == pages["_pp"])).select("source", "bucket", (F.col("_before") + F.col("_in")).alias("base"))
+
+
 class Mixture:
     """docs: (key, place, source, size) of every row: key is unique, place a hash that reruns agree on and that orders a source."""
 
@@ -82,9 +93,7 @@ class Mixture:
         n = written(docs.filter("size > 0").groupBy("source").agg(F.ceil(F.count("*") / ROWS_PER_BUCKET).cast("bigint").alias("buckets")), "mix-buckets")
         same = lambda a, b: a["source"].eqNullSafe(b["source"])
         counted = counted.join(n, same(counted, n)).select("key", "place", counted["source"], "size", F.pmod("bucket", F.col("buckets")).alias("bucket"))
-        sums = counted.groupBy("source", "bucket").agg(F.sum("size").alias("_s"))
-        w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        base = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), (F.sum("_s").over(w) - F.col("_s")).alias("base"))
+        base = before_bucket(counted.groupBy("source", "bucket").agg(F.sum("size").alias("_s"))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "base")
         inner = Window.partitionBy("source", "bucket").orderBy("place", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         within = counted.withColumn("upto", F.sum("size").over(inner))
         placed = within.join(base, within["source"].eqNullSafe(base["_source"]) & (within["bucket"] == base["_bucket"])).select("key", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
@@ -92,23 +101,32 @@ class Mixture:
         placed = written(placed, "mix-placed")
         self.placed = placed
 
+    def ranges(self, rows: DataFrame, first: Column, end: Column, *held: str) -> DataFrame:
+        """The numbers first .. end-1 of each row as `slot`, made from pieces of at most PIECE on all partitions."""
+        pieces = rows.filter(end > first).select("source", *held, first.alias("_f"), end.alias("_e"), F.explode(F.sequence(F.lit(0), F.floor((end - first - 1) / PIECE))).alias("_piece"))
+        pieces = pieces.repartition(shuffle_partitions(rows.sparkSession), "source", "_f", "_piece")
+        at = F.col("_f") + F.col("_piece") * PIECE
+        return pieces.select("source", *held, F.explode(F.sequence(at, F.least(F.col("_e"), at + PIECE) - 1)).alias("slot"))
+
+    def shard_counts(self) -> DataFrame:
+        """source, shard, drawn, first: a multinomial draw of each source's slots over the shards, and the slots before the shard's."""
+        draw = F.pmod(F.xxhash64(F.lit("shard"), "source", "slot", F.lit(SEED)), F.lit(self.shards)).cast("int")
+        counts = self.ranges(self.sources, F.lit(0).cast("bigint"), F.col("slots")).groupBy("source", draw.alias("shard")).agg(F.count("*").alias("drawn"))
+        upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most `shards` rows each
+        return counts.withColumn("first", F.sum("drawn").over(upto) - F.col("drawn"))
+
     def slots(self) -> DataFrame:
-        """Every output slot: source, slot, epoch, block index, words it may take, shard. Ranges of slots are made from pieces of at most 10,000."""
-        held = ["source", "n_blocks", "full", "rest", "missing", "short_at"]
-        s = self.sources.filter("slots > 0").select(*held, "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 10_000))).alias("piece"))
-        s = s.repartition(shuffle_partitions(s.sparkSession), "source", "piece").select(*held, F.explode(F.sequence(F.col("piece") * 10_000, F.least(F.col("slots"), F.col("piece") * 10_000 + 10_000) - 1)).alias("slot"))
+        """Every output slot: source, shard, slot, epoch, block index, words it may take."""
+        held = ["n_blocks", "full", "rest", "missing", "short_at"]
+        counts = self.shard_counts()
+        s = self.sources.select(F.col("source").alias("_source"), *held)
+        s = counts.join(s, counts["source"].eqNullSafe(s["_source"]))
+        s = self.ranges(s, F.col("first"), F.col("first") + F.col("drawn"), "shard", *held)
         s = s.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")))
         x = F.pmod("slot", F.col("n_blocks"))
         before = x * self.block - F.when(x > F.col("short_at"), F.col("missing")).otherwise(F.lit(0))
         words = F.when(F.col("epoch") < F.col("full"), F.lit(self.block)).otherwise(F.least(F.lit(self.block), F.col("rest") - before))
-        return s.select(
-            "source", "slot", "epoch", permuted(x, F.col("n_blocks"), F.xxhash64("source"), F.col("epoch")).alias("block"), words.alias("words"),
-            F.pmod(F.xxhash64(F.lit("shard"), "source", "slot", F.lit(SEED)), F.lit(self.shards)).cast("int").alias("shard"),
-        )
-
-    def shard_counts(self) -> DataFrame:
-        """source, shard, slots drawn: multinomial over the shards, given the source's total."""
-        return self.slots().groupBy("source", "shard").agg(F.count("*").alias("drawn"))
+        return s.select("source", "shard", "slot", "epoch", permuted(x, F.col("n_blocks"), F.xxhash64("source"), F.col("epoch")).alias("block"), words.alias("words"))
 
     def drawn(self) -> DataFrame:
         """key, shard, slot, epoch, begin, end: the words begin .. end-1 of a document that a slot takes."""
@@ -125,8 +143,9 @@ class Mixture:
 
 
 def measured(documents: DataFrame, key: Column) -> DataFrame:
-    size = word_count(F.col("text"))
-    return documents.select(key.alias("key"), F.xxhash64("doc_id", F.lit(SEED)).alias("place"), F.col("doc_id").cast("bigint"), F.col("source").cast("string"), size.alias("size"))
+    """key, place, doc_id, source, size of every row; rows without a doc_id are placed by their text."""
+    place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.lit(SEED))
+    return documents.select(key.alias("key"), place.alias("place"), F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
 
 
 def mixed(documents: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
@@ -147,16 +166,16 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, shards: int = SHAR
     """The mix as documents: for each document and epoch, a row whose text is the words drawn, in their order.
 
     White space behind a word stays with it, so a document drawn whole keeps its text as it is; n_chars is renewed.
-    Documents without words are not drawn.
+    Documents without words are not drawn. An empty table gives no rows; rows that repeat a doc_id are drawn one by one.
     """
-    repeated = documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    keyed = documents.withColumn("_key", F.col("doc_id").cast("bigint")) if repeated.isEmpty() else written(documents.withColumn("_key", F.monotonically_increasing_id()), "mix-texts")
-    docs = written(measured(keyed, F.col("_key")), "mix-docs")
-    parts = Mixture(docs, block, shards).drawn().groupBy("key", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts"), F.sum(F.col("end") - F.col("begin")).alias("_taken"))
-    parts = parts.join(docs.select("key", "size"), "key").select(F.col("key").alias("_key"), (F.col("_taken") == F.col("size")).alias("_whole"), "_parts")
-    words = F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.expr("array_join(flatten(transform(_parts, p -> slice(_words, cast(p.begin as int) + 1, cast(p.end - p.begin as int)))), '')")
-    out = keyed.join(parts, "_key").withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some))
+    rows, key, _ = with_key(documents)
+    parts_, whole, words = (f"{key}_{x}" for x in ("parts", "whole", "words"))
+    docs = written(measured(rows, F.col(key)), "mix-docs")
+    parts = Mixture(docs, block, shards).drawn().groupBy("key", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    parts = parts.join(docs.select("key", "size"), "key").select(F.col("key").alias(key), (F.col("taken") == F.col("size")).alias(whole), F.col("parts").alias(parts_))
+    split = F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.expr(f"array_join(flatten(transform(`{parts_}`, p -> slice(`{words}`, cast(p.begin as int) + 1, cast(p.end - p.begin as int)))), '')")
+    out = rows.join(parts, key).withColumn(words, F.when(~F.col(whole), split)).withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(some))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
