@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fits_broadcast, with_key, written
+
 BEFORE = 48
 AFTER = 48
 MASK = "[SECRET]"
@@ -36,7 +38,6 @@ FEATURES = ["f_length", "f_digit", "f_upper", "f_lower", "f_hex", "f_other", "f_
 # values that stand for a secret or describe it
 PLACEHOLDER = r"^(?:null|none|nil|true|false|str|string|text|bytes|int|bool|optional|any|required|undefined|changeme|redacted|removed|hidden|masked|empty|missing|invalid|valid|expired|disabled|enabled|not|the|that|this|these|used|sent|stored|needed|wrong|about|with|from|your|you|self|input|value|default|todo|tbd)\b|^(?:your|my|some|example|sample|dummy|fake|test)[_. -]|x{6,}|\*{4,}|^[$%{<\[]|environ|getenv|process\.env|^[A-Za-z_.]+\($|(?:config|settings|args|options|self|request|response|params)\."
 
-# No part looks behind its own start and what matches still does with more text behind it; candidates() relies on both.
 _END = r"-----END [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 HEADER = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----(?:[^-]{1,16384}+(?:-[^-]{1,16384}+){0,64}+" + _END + r"|(?:(?:\s|\\[nr]){1,8}+[A-Za-z0-9+/=]{32,}+){1,400}+)?+"
 NAME = rf"[A-Za-z0-9_+/=~.@\-]{{0,128}}?(?i:{KEY_WORDS})[A-Za-z0-9_\-]{{0,40}}+(?i:[ _-]keys?)?+"
@@ -167,22 +168,47 @@ def parts(x: Column) -> Column:
     )
 
 
+def starts(lengths: str, per: int = 512) -> str:
+    """SQL for the sums of an int array's items before each item, in two levels, so that no long array grows item by item."""
+    running = "aggregate({}, array({}), (a, v) -> concat(a, array(element_at(a, -1) + v)))"
+    pages = f"transform(sequence(0, (size({lengths}) - 1) div {per}), j -> slice({lengths}, j * {per} + 1, {per}))"
+    sums = f"transform({pages}, x -> aggregate(x, 0, (t, v) -> t + v))"
+    inside = f"slice({running.format('x', 'o')}, 1, size(x))"
+    return f"flatten(zip_with({pages}, slice({running.format(sums, 0)}, 1, size({pages})), (x, o) -> {inside}))"
+
+
 def candidates(documents: DataFrame, *keep: str | Column) -> DataFrame:
-    """keep's columns, path, start (0-based, in characters), before, candidate, after: one row per candidate; null texts have none.
+    """keep's columns, path, start (0-based, in characters), before, candidate, after: one row per candidate.
 
-    Each match is located behind the one before it; where the characters of a match stand, the pattern matches from
-    there or from before, so the first place of the same characters from there on is the match.
+    A text is split at its matches, so places are sums of lengths and surroundings come from the pieces beside a match:
+    work grows with the text's length, whatever the number of candidates. Null and empty texts, and an empty table, give
+    no rows; repeated rows give their candidates each.
     """
     # all but runs hold a key word, so texts without any need no other pattern
-    both = F.when(F.col("text").rlike(HAS_KEY_WORD), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))
-    found = documents.withColumn("_found", both).filter("size(_found) > 0")
-    step = "aggregate(_found, struct(1 as at, cast(array() as array<struct<start:int,match:string>>) as got), (a, x) -> named_struct('at', locate(x, text, a.at) + length(x), 'got', concat(a.got, array(named_struct('start', locate(x, text, a.at), 'match', x))))).got"
+    by_pattern = lambda f: F.when(F.col("text").rlike(HAS_KEY_WORD), f(CANDIDATE)).otherwise(f(RUN))
     kept = [F.col(k) if isinstance(k, str) else k for k in keep]
-    rows = found.select(*kept, F.col("source").cast("string").alias("path"), "text", F.explode(F.expr(step)).alias("m"))
+    rows = documents.select(*kept, F.col("source").cast("string").alias("path"), by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("_m"), by_pattern(lambda p: F.split("text", p, -1)).alias("_b"))
     names = rows.columns[: len(kept)]
-    rows = rows.select(*names, "path", "text", "m.start", F.explode(parts(F.col("m.match"))).alias("p")).withColumn("start", F.col("start") + F.col("p.at"))
-    near = F.substring("text", F.greatest(F.lit(1), F.col("start") - BEFORE), F.least(F.col("start") - 1, F.lit(BEFORE)))
-    rows = rows.select(*names, "path", (F.col("start") - 1).alias("start"), near.alias("before"), F.col("p.candidate").alias("candidate"), F.substring("text", F.col("start") + F.length("p.candidate"), F.lit(AFTER)).alias("after"), "p.least", "p.named")
+    # pieces: text before, match, text before, match, ..; of each the ends that surroundings may need
+    rows = rows.select(
+        *names, "path", "_m", F.expr("flatten(zip_with(_b, _m, (b, m) -> array(b, coalesce(m, ''))))").alias("_pieces"),
+        F.expr("transform(_b, b -> length(b))").alias("_gaps"), F.expr("zip_with(slice(_b, 1, size(_m)), _m, (b, m) -> length(b) + length(m))").alias("_lengths"),
+    )
+    near = 2 * -(-max(BEFORE, AFTER) // 4)  # matches have 4 characters or more
+    rows = rows.select(
+        *names, "path", "_m", "_gaps", F.when(F.size("_m") > 0, F.expr(starts("_lengths"))).alias("_starts"),
+        F.expr(f"transform(_pieces, x -> right(x, {BEFORE}))").alias("_tails"), F.expr(f"transform(_pieces, x -> left(x, {AFTER}))").alias("_heads"),
+    )
+    item = f"""named_struct('match', x, 'start', _starts[i] + _gaps[i],
+        'before', array_join(slice(_tails, greatest(1, 2 * i + 2 - {near}), least(2 * i + 1, {near})), ''), 'after', array_join(slice(_heads, 2 * i + 3, {near}), ''))"""
+    # outer: the optimizer would run the pattern once more to look for empty arrays
+    rows = rows.select(*names, "path", F.explode_outer(F.expr(f"transform(_m, (x, i) -> {item})")).alias("m")).filter("m is not null")
+    rows = rows.select(*names, "path", "m", F.explode_outer(parts(F.col("m.match"))).alias("p")).filter("p is not null")
+    length = F.length("p.candidate")
+    rows = rows.select(
+        *names, "path", (F.col("m.start") + F.col("p.at")).alias("start"), F.right(F.concat("m.before", F.substring("m.match", F.lit(1), F.col("p.at"))), F.lit(BEFORE)).alias("before"), F.col("p.candidate").alias("candidate"),
+        F.left(F.concat(F.substring("m.match", F.col("p.at") + length + 1, F.length("m.match")), F.col("m.after")), F.lit(AFTER)).alias("after"), "p.least", "p.named",
+    )
     beside = F.concat_ws(" ", "before", "after").rlike(f"(?i){KEY_WORDS}")
     rows = rows.filter((F.length("candidate") >= F.col("least")) & (F.col("named") | F.col("candidate").rlike("[0-9]") | beside))
     return rows.select(*names, "path", "start", "before", "candidate", "after")
@@ -196,7 +222,10 @@ def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFram
 
 
 def scanned(documents: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """doc_id, start, length, finding, score, is_secret of every candidate in every whole text."""
+    """doc_id, start, length, finding, score, is_secret of every candidate in every whole text.
+
+    A null doc_id stays null; null and empty texts give no rows, repeated rows their findings each.
+    """
     model = model or trained(default_findings(documents.sparkSession))
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("source"), F.col("text"))
     found = judged(candidates(docs, "doc_id"), model)
@@ -204,19 +233,20 @@ def scanned(documents: DataFrame, model: RandomForestClassificationModel | None
 
 
 def redacted(documents: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """documents with each secret replaced by MASK, and n_chars renewed where there is one; no row goes."""
-    from .common import fits_broadcast, written
+    """documents with each secret replaced by MASK at its place, and n_chars renewed where there is one; no row goes.
 
+    Each row is judged by itself: rows that repeat a doc_id or a text keep their own findings, and the same characters
+    stay where they were judged harmless. Null and empty texts stay as they are; an empty table gives no rows.
+    """
     model = model or trained(default_findings(documents.sparkSession))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_text"), "source", "text")
-    hits = judged(candidates(docs, "_doc", "_text"), model).filter("is_secret").select("_doc", "_text", "start", "candidate").distinct()
-    # places hold for one text: rows of the same doc_id are told apart by it
-    hits = written(hits.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set(F.struct("start", F.length("candidate").alias("length"), "candidate"))).alias("_hits")), "secrets")
-    side = F.broadcast(hits) if fits_broadcast(hits, 400) else hits
-    out = documents.join(side, documents["doc_id"].cast("bigint").eqNullSafe(side["_doc"]) & (F.xxhash64(documents["text"]) == side["_text"]), "left")
-    # each secret at its place; long ones, longest first, wherever else they stand
-    masked = "aggregate(_hits, struct(1 as at, '' as got), (a, h) -> named_struct('at', h.start + h.length + 1, 'got', concat(a.got, substring(text, a.at, h.start + 1 - a.at), '%s')), a -> concat(a.got, substring(text, a.at)))" % MASK
-    long = F.reverse(F.array_sort(F.transform(F.filter("_hits", lambda h: h["length"] >= 16), lambda h: F.struct(h["length"].alias("n"), h["candidate"].alias("c")))))
-    clean = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.aggregate(long, F.expr(masked), lambda t, h: F.replace(t, h["c"], F.lit(MASK))))
-    new = {"text": clean} | ({"n_chars": F.length(clean).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return out.select(*(new[c].alias(c) if c in new else documents[c] for c in documents.columns))
+    rows, key, _ = with_key(documents)
+    hits_, at = f"{key}_hits", f"{key}_of"
+    hits = judged(candidates(rows.select(F.col(key).alias("_row"), "source", "text"), "_row"), model).filter("is_secret")
+    hits = written(hits.groupBy(F.col("_row").alias(at)).agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.length("candidate")).alias("e")))).alias(hits_)), "secrets")
+    out = rows.join(F.broadcast(hits) if fits_broadcast(hits, 400) else hits, rows[key] == hits[at], "left")
+    # the text before each secret, from the end of the one before it, and the text behind the last
+    before = f"transform(`{hits_}`, (h, i) -> substring(text, if(i = 0, 0, `{hits_}`[i - 1].e) + 1, greatest(0, h.s - if(i = 0, 0, `{hits_}`[i - 1].e))))"
+    masked = F.expr(f"concat(array_join({before}, '{MASK}'), '{MASK}', substring(text, element_at(`{hits_}`, -1).e + 1))")
+    clean = F.when(F.col(hits_).isNull(), F.col("text")).otherwise(masked)
+    new = {"text": clean} | ({"n_chars": F.when(F.col(hits_).isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    return out.select(*(new[c].alias(c) if c in new else rows[c] for c in documents.columns))
