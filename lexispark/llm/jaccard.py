@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fits_broadcast, mix64, written
+from .common import components, fits_broadcast, mix64, small_batches, written
 from .packed import Packer, by_part, grouped, parts_for, runs, schema, unpacked
 
 WIDTH = 5
@@ -42,7 +42,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -121,8 +121,8 @@ def region_keys(s: np.ndarray, percent: int, ordered: np.ndarray | None = None)
         else:
             piece = (s >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
             starts, _ = runs(piece)
-            if len(starts) < need:
-                raise ValueError("too few slices hold shingles: a link could be lost")
+            if len(starts) < need:  # SPARE standard deviations off: only a hash that fails its purpose gets here
+                raise ArithmeticError(f"{len(starts)} of {count} slices hold shingles, {need} are needed: a link could be lost")
             keys = np.add.reduceat(mix64(s), starts)[:need] + piece[starts[:need]]
         yield mix64(keys * MULT + np.uint64(r))
 
@@ -144,28 +144,37 @@ def profiles(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, hist binary")
 
 
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)]
+    return first[new], second[new]
+
+
 def met_regions(packed: DataFrame, parts: int) -> DataFrame:
-    """(pivot, node) of every region that holds two sets or more, the pivot with itself included; packed: keys and nodes."""
+    """(pivot, node) of every region that holds two sets or more, the pivot with itself included; packed: keys and nodes.
+
+    Each part's pairs are distinct; they travel packed to the part of the pair's hash, where they become distinct.
+    """
+    names = ["pairs", "pivots", "nodes"]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = unpacked(batches, [np.uint64, np.int64])
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
-        keys, nodes = keys[fresh], nodes[fresh]
+        keys, nodes = distinct_pairs(*unpacked(batches, [np.uint64, np.int64]))
         starts, ends = runs(keys)
         size = ends - starts
-        pivot = np.repeat(nodes[starts], size)
         many = np.repeat(size > 1, size)
-        pairs = np.stack([pivot[many], nodes[many]], axis=1)
-        if len(pairs):
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
-        for a in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], names=["pivot", "node"])
+        pivot, node = distinct_pairs(np.repeat(nodes[starts], size)[many], nodes[many])
+        packer = Packer(parts, names)
+        yield from packer.add(mix64(pivot.view(np.uint64) * MULT + node.view(np.uint64)), pivot, node)
+        yield from packer.flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, node = distinct_pairs(*unpacked(batches, [np.uint64, np.int64, np.int64])[1:])
+        for a in range(0, len(pivot), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[a : a + 100_000]), pa.array(node[a : a + 100_000])], names=["pivot", "node"])
 
-    return by_part(packed, parts).mapInArrow(gathered, "pivot bigint, node bigint").distinct()
+    met = by_part(packed, parts).mapInArrow(gathered, schema(names))
+    return by_part(met, parts).mapInArrow(merged, "pivot bigint, node bigint")
 
 
 def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
@@ -180,7 +189,7 @@ def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
                 node = node_of(s) if len(s) else None
                 if node is None or node in met:
                     continue
-                if len(met) < 1_000_000:
+                if len(met) < 200_000:
                     met.add(node)
                 for keys in region_keys(s, percent):
                     yield from packer.add(keys, np.full(len(keys), node, np.int64))
@@ -235,7 +244,9 @@ def inner_regions(sets: DataFrame, entries: int, percent: int) -> DataFrame:
                     yield from packer.add(keys, np.full(len(keys), node, np.int64))
         yield from packer.flush()
 
-    return met_regions(sets.mapInArrow(keyed, schema(["keys", "nodes"])), parts)
+    found = written(met_regions(sets.mapInArrow(keyed, schema(["keys", "nodes"])), parts), "inner-regions")
+    common.destroy()
+    return found
 
 
 def counts_of(binary: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -396,6 +407,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     A document without words is linked with nothing and is its own component; so is every row without a doc_id, whose
     component_id is null. Equal sets are one node of the graph, however many documents have them.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     known = docs.filter("doc_id is not null")
     profile = written(profiles(docs), "profiles")
@@ -410,7 +422,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
         # pairs of a crowded region meet again among all sets of such regions, by their rarest shingles
         inside = sets_of(known, nodes, cand.join(crowd, "pivot", "left_semi").select("node").distinct())
         held = inside.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
-        inner = written(inner_regions(inside, held, percent), "inner-regions")
+        inner = inner_regions(inside, held, percent)
         links = links.unionByName(star_links(inner, known, nodes, percent))
         comp = components(links, "inner-components")
         cand = written(cand.join(crowd, "pivot", "left_anti").select("pivot", "node").unionByName(inner).distinct(), "open-regions")

@@ -178,8 +178,10 @@ def test_components(spark):
     for _ in low:
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+    for one_task in (0, 1000):
+        got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_media(docs, texts, spark):
