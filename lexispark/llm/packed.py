@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,13 @@ def parts_for(df: DataFrame, entries: int, per_part: int = 1 << 19) -> int:
 
 
 class Packer:
-    """Collects columns of entries (arrays whose first axis is the entry) and gives them out by part of the key, the first column."""
+    """Collects columns of entries (arrays whose first axis is the entry) and gives them out by part of the key, the first column.
 
-    def __init__(self, parts: int, names: list[str], most: int = 12 << 20) -> None:
-        self.parts, self.names, self.most = parts, names, most
+    thin, if given, maps the columns of a whole buffer to those that are given out.
+    """
+
+    def __init__(self, parts: int, names: list[str], most: int = 12 << 20, thin: Callable[..., list[np.ndarray]] | None = None) -> None:
+        self.parts, self.names, self.most, self.thin = parts, names, most, thin
         self.held: list[tuple[np.ndarray, ...]] = []
         self.bytes = 0
 
@@ -37,6 +40,8 @@ class Packer:
             return
         columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
         self.held, self.bytes = [], 0
+        if self.thin:
+            columns = self.thin(*columns)
         part = ((columns[0] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -54,7 +59,7 @@ def schema(names: list[str]) -> str:
 
 
 def by_part(packed: DataFrame, parts: int) -> DataFrame:
-    return packed.repartition(parts, F.col("part"))
+    return packed.repartitionById(parts, F.col("part"))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[np.dtype]) -> list[np.ndarray]:

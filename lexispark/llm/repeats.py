@@ -3,10 +3,12 @@
 Every LENGTH-byte string holds an anchor: the GRAM-byte string of least hash among its LENGTH - GRAM + 1 (winnowing), so
 equal strings hold equal anchors at equal places. Anchors that occur once settle that no repeat passes there. The
 others meet by their hash with the context that a string of LENGTH bytes around them can reach. The right contexts of a
-meeting are sorted with their common prefixes: an enhanced suffix array. A stack scan gives its common-prefix intervals,
-and inside each the left contexts tell how far members extend to the left together and where they differ, which makes
-the interval a maximal repeat with all its occurrences. Meetings of more than MOST members are not gathered: there each
-string around the anchor goes by its own hash, and those met twice are repeats. Equal texts are one text with a count.
+meeting are sorted with their common prefixes: an enhanced suffix array. A stack scan gives its common-prefix intervals;
+inside each, the left contexts are sorted and scanned likewise. An interval of left contexts whose members differ before
+it, and after the right prefix, is a maximal repeat with all its occurrences, as far as the contexts reach. Meetings of
+more than MOST members are not gathered: there each string around the anchor goes by its own hash, and those met twice
+are repeats. A key that one task's buffer holds many times is settled there and sends a marker instead of its entries,
+so no part gathers a hot key. Equal texts are one text with a count.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from .packed import Packer, by_part, parts_for, runs, schema, unpacked
 LENGTH = 400
 GRAM = 300
 MOST = 200
+HOT = 8  # entries of one anchor in a task's buffer that settle it as crowded
+ASKS, MARKS, SETTLED = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15
+CONTEXT = ["keys", "texts", "places", "left", "right", "n_left", "n_right"]
+BOUNDS = ["first", "last"]
 
 
 class Rolling:
@@ -64,16 +70,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(x) - width + 1], m[width - w : width - w + len(x) - width + 1])
 
 
-def anchors(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Places of the least gram of each string of `length` bytes, the last of equals."""
+def window_anchors(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each string of `length` bytes, the place of its least gram, the last of equals; places never fall."""
     width = length - gram + 1
     if len(hashes) < width:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 30) - 1)
     place = np.arange(len(hashes), dtype=np.uint64) & low
     m = sliding_min((hashes & ~low) | (low - place), width)
-    m = m[np.append(True, m[1:] != m[:-1])]
-    return np.unique((low - (m & low)).astype(np.int64))
+    return (low - (m & low)).astype(np.int64)
+
+
+def anchors(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
+    at = window_anchors(hashes, length, gram)
+    return at[np.append(True, at[1:] != at[:-1])[: len(at)]]
 
 
 def common_prefix(rows: np.ndarray, lengths: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -88,35 +98,86 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
         first = i - 1
         while stack and stack[-1][0] > x:
             height, first = stack.pop()
-            if first < i - 1:
+            if first < i - 1 and (height or 0 in lcp):
                 yield height, first, i - 1
         if x >= 0 and (not stack or stack[-1][0] < x):
             stack.append((x, first))
 
 
-def meet(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each member of one anchor's meeting, the farthest bytes to the left and to the right of the anchor in repeats of `reach` bytes around it; -1 where it is in none.
+def ordered(context: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The order of contexts; one that ends goes before those that go on, with bytes 0, too."""
+    if len(n) < 2:
+        return np.arange(len(n))
+    key = np.ascontiguousarray(np.concatenate([context, n.astype(np.uint8)[:, None]], axis=1))
+    return np.argsort(key.view(f"V{key.shape[1]}").ravel(), kind="stable")
+
+
+def maximal_repeats(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bytes to the left, bytes to the right, members) of the maximal repeats around one anchor that have `reach` bytes around it.
 
-    left holds the bytes before the anchor, nearest first.
+    left holds the bytes before the anchor, nearest first. Members of an interval agree in `to the left` bytes and not in
+    one more, and neither in one more to the right.
     """
-    g = len(left)
-    width = max(1, right.shape[1])
-    order = np.argsort(np.ascontiguousarray(right).view(f"V{width}").ravel(), kind="stable") if g > 2 else np.arange(g)
+    order = ordered(right, n_right)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
     lcp = common_prefix(right, n_right, order[:-1], order[1:])
-    far_left, far_right = np.full(g, -1, np.int64), np.full(g, -1, np.int64)
-    for height, first, last in intervals(lcp.tolist()):
+    for height, first, last in [*intervals(lcp.tolist())]:
         members = order[first : last + 1]
-        if len(members) > 2:
-            members = members[np.argsort(np.ascontiguousarray(left[members]).view(f"V{max(1, left.shape[1])}").ravel(), kind="stable")]
+        members = members[ordered(left[members], n_left[members])]
         shared = common_prefix(left, n_left, members[:-1], members[1:])
-        best = np.maximum(np.append(shared, 0), np.append(0, shared))  # left extensions that some other member has, too
-        good = best + height >= reach
-        m = members[good]
-        far_left[m] = np.maximum(far_left[m], best[good])
-        far_right[m] = np.maximum(far_right[m], height)
+        for wide, a, b in intervals(shared.tolist()):
+            if wide + height < reach:
+                continue
+            group = members[a : b + 1]
+            if len(group) <= last - first:  # otherwise its right prefix is the interval's
+                at = rank[group]
+                if lcp[at.min() : at.max()].min() > height:
+                    continue  # agrees in more bytes to the right: a group of an inner interval
+            yield wide, height, group
+
+
+def meet(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of one anchor's meeting, the farthest bytes to the left and to the right of the anchor in maximal repeats; -1 where it is in none."""
+    far_left, far_right = np.full(len(left), -1, np.int64), np.full(len(left), -1, np.int64)
+    for wide, height, group in maximal_repeats(left, n_left, right, n_right, reach):
+        far_left[group] = np.maximum(far_left[group], wide)
+        far_right[group] = np.maximum(far_right[group], height)
     return far_left, far_right
 
 
+def thinned(keys: np.ndarray, texts: np.ndarray, places: np.ndarray, most: int) -> list[np.ndarray]:
+    """A buffer's distinct entries with flags; those of keys with more than `most` are settled and go by text, with one marker to the key's part."""
+    keys, texts, places = distinct_entries(keys, texts, places)
+    starts, ends = runs(keys)
+    size = ends - starts
+    hot = np.repeat(size > most, size)
+    first = starts[size > most]
+    route = np.concatenate([np.where(hot, mix64(texts.view(np.uint64)), keys), keys[first]])
+    flags = np.concatenate([np.where(hot, SETTLED, ASKS), np.full(len(first), MARKS)]).astype(np.uint8)
+    return [route, np.append(texts, texts[first]), np.append(places, places[first]), flags]
+
+
+def distinct_entries(keys: np.ndarray, texts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((places, texts, keys))
+    keys, texts, places = keys[order], texts[order], places[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]) | (places[1:] != places[:-1]))[: len(keys)]
+    return keys[new], texts[new], places[new]
+
+
+def asked(batches: Iterator[pa.RecordBatch], crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, places, number of entries of the key, whether it is crowded) of a part's entries; settled ones, and those of marked keys, are crowded."""
+    keys, texts, places, flags = unpacked(batches, [np.uint64, np.int64, np.uint32, np.uint8])
+    settled = flags == SETTLED
+    mark = np.unique(keys[flags == MARKS])
+    k, t, p = distinct_entries(keys[~settled], texts[~settled], places[~settled])
+    starts, ends = runs(k)
+    size = np.repeat(ends - starts, ends - starts)
+    many = (size > crowd) | np.isin(k, mark, assume_unique=False)
+    over = np.full(int(settled.sum()), crowd + 1)
+    return np.append(t, texts[settled]), np.append(p, places[settled]), np.append(np.where(many, np.maximum(size, 2), size), over), np.append(many, over > 0)
+
+
 def text_key(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
@@ -145,12 +206,12 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def met_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
-    """(text_key, places, crowded) of the anchors that occur at two places or more; crowded: at more than MOST."""
+    """(text_key, places, crowded) of the anchors that occur at two places or more; crowded: at more than MOST, or HOT in one buffer."""
     parts = parts_for(docs, 2 * n_bytes // (LENGTH - GRAM + 1))
-    names = ["keys", "texts", "places"]
+    names = ["keys", "texts", "places", "flags"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, packer = Rolling(), Packer(parts, names)
+        roll, packer = Rolling(), Packer(parts, names, thin=lambda *c: thinned(*c, HOT))
         for raw, key in distinct_texts(batches):
             h = roll.all(roll.sums(np.frombuffer(raw, np.uint8)), GRAM)
             at = anchors(h, LENGTH, GRAM)
@@ -158,14 +219,8 @@ def met_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
         yield from packer.flush()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, places = unpacked(batches, [np.uint64, np.int64, np.uint32])
-        order = np.lexsort((places, texts, keys))
-        keys, texts, places = keys[order], texts[order], places[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]) | (places[1:] != places[:-1]))[: len(keys)]
-        keys, texts, places = keys[fresh], texts[fresh], places[fresh]
-        starts, ends = runs(keys)
-        size = np.repeat(ends - starts, ends - starts)
-        yield from by_text(texts[size > 1], places[size > 1], (size > MOST)[size > 1])
+        texts, places, size, crowded = asked(batches, MOST)
+        yield from by_text(texts[size > 1], places[size > 1], crowded[size > 1])
 
     return by_part(docs.mapInArrow(keyed, schema(names)), parts).mapInArrow(gathered, "text_key bigint, places binary, crowded binary")
 
@@ -201,11 +256,14 @@ def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([begin[first], end[last]], axis=1)
 
 
-def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
-    """(text_key, spans) from the meetings of anchors; docs: (text, places, crowded, text_key), one row for each text."""
+def contexts(docs: DataFrame, n_anchors: int, bounds: bool = False) -> DataFrame:
+    """The meetings of anchors that are not crowded, packed; docs: (text, places, crowded, text_key), one row for each text.
+
+    bounds adds how many bytes before the anchor the first and the last string begin of which it is the anchor.
+    """
     reach = LENGTH - GRAM
     parts = parts_for(docs, n_anchors, 1 << 16)
-    names = ["keys", "texts", "places", "left", "right", "n_left", "n_right"]
+    names = CONTEXT + BOUNDS * bounds
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, packer = Rolling(), Packer(parts, names)
@@ -218,23 +276,37 @@ def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
                 at = np.frombuffer(places, np.uint32).astype(np.int64)
                 at = np.unique(at[np.frombuffer(crowded, np.uint8) == 0])
                 x = np.frombuffer(raw, np.uint8)
-                h = roll.at(roll.sums(x), at, GRAM)
+                sums = roll.sums(x)
+                h = roll.at(sums, at, GRAM)
+                windows = window_anchors(roll.all(sums, GRAM), LENGTH, GRAM) if bounds else at
                 for a in range(0, len(at), 5_000):
                     p = at[a : a + 5_000]
+                    more = [(p - np.searchsorted(windows, p)).astype(np.uint8), (p + 1 - np.searchsorted(windows, p, side="right")).astype(np.uint8)] if bounds else []
                     n_left, n_right = np.minimum(p, reach), np.minimum(len(x) - p - GRAM, reach)
                     left = x[np.maximum(p[:, None] + back, 0)] * (back >= -n_left[:, None])
                     right = x[np.minimum(p[:, None] + GRAM + on, len(x) - 1)] * (on < n_right[:, None])
-                    yield from packer.add(h[a : a + 5_000], np.full(len(p), key, np.int64), p.astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), n_left.astype(np.uint8), n_right.astype(np.uint8))
+                    yield from packer.add(h[a : a + 5_000], np.full(len(p), key, np.int64), p.astype(np.uint32), left.astype(np.uint8), right.astype(np.uint8), n_left.astype(np.uint8), n_right.astype(np.uint8), *more)
         yield from packer.flush()
 
+    return by_part(docs.mapInArrow(keyed, schema(names)), parts)
+
+
+def meetings(batches: Iterator[pa.RecordBatch], bounds: bool = False) -> tuple[np.ndarray, ...]:
+    """The columns of a part behind the keys, sorted by anchor, and the starts and ends of the anchors' runs."""
+    wide = np.dtype((np.uint8, LENGTH - GRAM))
+    keys, *columns = unpacked(batches, [np.uint64, np.int64, np.uint32, wide, wide, np.uint8, np.uint8, *[np.uint8] * 2 * bounds])
+    order = np.argsort(keys, kind="stable")
+    columns = [c[order] if c.ndim > 1 else c[order].astype(np.int64) for c in columns]
+    return *columns, *runs(keys[order])
+
+
+def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
+    """(text_key, spans) from the meetings of anchors."""
+    reach = LENGTH - GRAM
+
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = np.dtype((np.uint8, reach))
-        keys, texts, places, left, right, n_left, n_right = unpacked(batches, [np.uint64, np.int64, np.uint32, wide, wide, np.uint8, np.uint8])
-        order = np.argsort(keys, kind="stable")
-        keys, texts, places, left, right = keys[order], texts[order], places[order].astype(np.int64), left[order], right[order]
-        n_left, n_right = n_left[order].astype(np.int64), n_right[order].astype(np.int64)
-        starts, ends = runs(keys)
-        far_left, far_right = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        texts, places, left, right, n_left, n_right, starts, ends = meetings(batches)
+        far_left, far_right = np.full(len(texts), -1, np.int64), np.full(len(texts), -1, np.int64)
         two = starts[ends - starts == 2]  # one interval of two members each
         for a in range(0, len(two), 10_000):
             i = two[a : a + 10_000]
@@ -247,16 +319,46 @@ def context_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
         hit = far_left >= 0
         yield from span_batches(texts[hit], places[hit] - far_left[hit], places[hit] + GRAM + far_right[hit])
 
-    return by_part(docs.mapInArrow(keyed, schema(names)), parts).mapInArrow(gathered, "text_key bigint, spans binary")
+    return contexts(docs, n_anchors).mapInArrow(gathered, "text_key bigint, spans binary")
+
+
+def context_groups(docs: DataFrame, n_anchors: int) -> DataFrame:
+    """(length, occurrences) of the maximal repeats in the meetings of anchors; occurrences: (text_key, start) of each."""
+    occurrence = pa.struct([("text_key", pa.int64()), ("start", pa.int64())])
+    reach = LENGTH - GRAM
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, places, left, right, n_left, n_right, first, last, starts, ends = meetings(batches, True)
+        length, groups, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(groups, pa.list_(occurrence))], names=["length", "occurrences"])
+
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            if e - s < 2:
+                continue
+            for wide, height, group in maximal_repeats(left[s:e], n_left[s:e], right[s:e], n_right[s:e], reach):
+                at = s + group[0]
+                if min(first[at], wide) < max(last[at], reach - height):
+                    continue  # not the anchor of any string inside: this one's occurrences meet elsewhere
+                length.append(wide + GRAM + height)
+                groups.append([{"text_key": int(t), "start": int(p) - wide} for t, p in zip(texts[s + group], places[s + group], strict=True)])
+                held += len(group)
+            if held > 10_000:
+                yield out()
+                length, groups, held = [], [], 0
+        yield out()
+
+    return contexts(docs, n_anchors, True).mapInArrow(gathered, "length bigint, occurrences array<struct<text_key:bigint,start:bigint>>")
 
 
 def crowded_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
     """(text_key, spans) around crowded anchors, each string of LENGTH bytes by its own hash; its rows count as repeated when met twice."""
     parts = parts_for(docs, n_anchors * (LENGTH - GRAM + 1))
-    names = ["keys", "texts", "places"]
+    names = ["keys", "texts", "places", "flags"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, packer = Rolling(), Packer(parts, names)
+        roll, packer = Rolling(), Packer(parts, names, thin=lambda *c: thinned(*c, 1))
         for b in batches:
             for text, places, crowded, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
@@ -272,11 +374,8 @@ def crowded_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
         yield from packer.flush()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, places = unpacked(batches, [np.uint64, np.int64, np.uint32])
-        order = np.argsort(keys, kind="stable")
-        keys, texts, places = keys[order], texts[order], places[order].astype(np.int64)
-        starts, ends = runs(keys)
-        hit = np.repeat(ends - starts, ends - starts) > 1
+        texts, places, size, _ = asked(batches, 1)
+        hit, places = size > 1, places.astype(np.int64)
         yield from span_batches(texts[hit], places[hit], places[hit] + LENGTH)
 
     return by_part(docs.mapInArrow(keyed, schema(names)), parts).mapInArrow(gathered, "text_key bigint, spans binary")
@@ -284,20 +383,15 @@ def crowded_spans(docs: DataFrame, n_anchors: int) -> DataFrame:
 
 def with_texts(docs: DataFrame, reps: DataFrame, rows: DataFrame, row_bytes: int) -> DataFrame:
     """rows (text_key, ...) with doc_id and text of one document of that text."""
-    keyed = written(rows.join(reps, "text_key"), "keyed")
+    keyed = written(rows.join(reps.select("text_key", "rep", "rep_bytes"), "text_key"), "keyed")
     side = F.broadcast(keyed) if fits_broadcast(keyed, row_bytes, 96 << 20) else keyed
     return docs.join(side, docs["doc_id"].eqNullSafe(side["rep"])).filter(F.expr("octet_length(text) = rep_bytes")).drop("rep", "rep_bytes")
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text has no bytes.
-
-    Rows of equal doc_id are documents of their own: equal texts repeat each other, whatever their ids.
-    """
-    small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+def anchored(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """profiles of all rows; distinct texts with the copies of each; met anchors with their texts; numbers of anchors and of crowded ones."""
     profile = written(profiles(docs), "profiles")
-    groups = written(profile.filter(F.col("n_bytes") >= LENGTH).groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_bytes").alias("rep_bytes")), "texts")
+    groups = written(profile.filter(F.col("n_bytes") >= LENGTH).groupBy("text_key", "sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_bytes").alias("rep_bytes")), "texts")
     n_bytes = groups.agg(F.coalesce(F.sum("rep_bytes"), F.lit(0))).first()[0]
     met = met_anchors(docs, n_bytes)
     # a text's places, as many binaries as parts that found some
@@ -306,8 +400,34 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     met = written(met.select("text_key", joined("places").alias("places"), joined("crowded").alias("crowded")), "anchors")
     stats = met.agg(F.coalesce(F.sum(F.octet_length("crowded")), F.lit(0)), F.coalesce(F.sum(F.length(F.replace(F.hex("crowded"), F.lit("00"), F.lit(""))) / 2), F.lit(0)), F.count("*")).first()
     n_all, n_crowded, n_texts = int(stats[0]), int(stats[1]), int(stats[2])
-    reps = groups.select("text_key", "rep", "rep_bytes")
-    at = with_texts(docs, reps, met, 100 + 5 * n_all // max(1, n_texts)).select("text", "places", "crowded", "text_key")
+    at = with_texts(docs, groups, met, 100 + 5 * n_all // max(1, n_texts)).select("text", "places", "crowded", "text_key")
+    return profile, groups, at, n_all, n_crowded
+
+
+def repeat_groups(documents: DataFrame) -> DataFrame:
+    """length, occurrences (doc_ids of a text's copies, start) of the maximal repeats of LENGTH bytes or more around anchors.
+
+    A group holds all occurrences of one string in distinct texts; its members differ in the byte before and in the byte
+    behind, or end there, as far as LENGTH - GRAM bytes around the anchor show; longer repeats give a group at each of
+    their anchors. Anchors at more than MOST places give no groups: without_repeats takes their strings by hash.
+    """
+    small_batches(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    profile, _, at, n_all, n_crowded = anchored(docs)
+    groups = written(context_groups(at, n_all - n_crowded).withColumn("group", F.monotonically_increasing_id()), "groups")
+    ids = profile.filter(F.col("n_bytes") >= LENGTH).groupBy("text_key").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    places = groups.select("group", "length", F.explode("occurrences").alias("o")).select("group", "length", "o.text_key", "o.start").join(ids, "text_key")
+    return places.groupBy("group", "length").agg(F.sort_array(F.collect_list(F.struct("doc_ids", "start"))).alias("occurrences")).select("length", "occurrences")
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text has no bytes.
+
+    Rows of equal doc_id are documents of their own: equal texts repeat each other, whatever their ids.
+    """
+    small_batches(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    profile, groups, at, n_all, n_crowded = anchored(docs)
     spans = context_spans(at, n_all - n_crowded)
     if n_crowded:
         spans = spans.unionByName(crowded_spans(at, n_crowded))
@@ -328,14 +448,14 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                     keep.update(raw[last:i])
                     last = j
                 keep.update(raw[last:])
-                out.append((key, int((x[:, 1] - x[:, 0]).sum()), len(x), keep.hexdigest()))
+                out.append((hashlib.sha256(raw).hexdigest(), int((x[:, 1] - x[:, 0]).sum()), len(x), keep.hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["text_key", "n_removed", "n_spans", "kept"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sha256", "n_removed", "n_spans", "kept"])
 
-    kept = with_texts(docs, reps, spans, 200).select("text", "spans", "text_key").mapInArrow(cut, "text_key bigint, n_removed bigint, n_spans bigint, kept string")
-    kept = kept.groupBy("text_key").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
-    whole = groups.filter("copies > 1").select("text_key", F.col("rep_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
+    kept = with_texts(docs, groups, spans, 200).select("text", "spans", "text_key").mapInArrow(cut, "sha256 string, n_removed bigint, n_spans bigint, kept string")
+    kept = kept.groupBy("sha256").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
+    whole = groups.filter("copies > 1").select("sha256", F.col("rep_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
     found = whole.unionByName(kept)
     zero = F.lit(0).cast("bigint")
-    return profile.join(found, "text_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    return profile.join(found, "sha256", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))

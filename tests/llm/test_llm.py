@@ -75,6 +75,52 @@ def test_crowded_meetings(spark, monkeypatch):
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
 
 
+def test_repeats_beside_nul(spark):
+    """Texts that end at a shared anchor, or go on with bytes 0, are told apart."""
+    r = random.Random(21)
+    for _ in range(3):
+        base = bytes(r.choice(b"ab\0") for _ in range(420)).decode()
+        texts = [base[: r.randint(380, 420)] + r.choice(["", "\0", "\0\0", "\0x", "z"]) + r.choice(["", prose(r, 3)]) for _ in range(40)]
+        texts += [r.choice(["\0", "\0\0", "q"]) + base[r.randint(0, 20) :] for _ in range(20)]
+        got = by_id(repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+        assert [tuple(got[i])[1:] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A passage in most documents is settled by the tasks that read it, whatever the number of tasks."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    r = random.Random(23)
+    passage = prose(r, 100)
+    texts = [f"{prose(r, 9)} {passage[r.randint(0, 60) :]} {prose(r, 20)}" for _ in range(60)] + [passage * 3, "x" * 1500]
+    want = brute_repeats(texts)
+    for n in (1, 7, 40):
+        got = by_id(repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(n)))
+        assert [tuple(got[i])[1:] for i in range(len(texts))] == want
+
+
+def test_repeat_groups(spark, texts, docs):
+    """Groups are right- and left-diverse, hold all occurrences of their string, and cover what is removed."""
+    raw = [(t or "").encode() for t in texts]
+    covered = [np.zeros(len(b), bool) for b in raw]
+    groups = repeats.repeat_groups(docs).collect()
+    assert groups
+    for g in groups:
+        places = {(i, o.start) for o in g.occurrences for i in o.doc_ids}
+        strings = {raw[i][at : at + g.length] for i, at in places}
+        assert len(strings) == 1 and g.length >= 400
+        s = strings.pop()
+        assert places == {(i, p) for i, b in enumerate(raw) for p in range(len(b) - len(s) + 1) if b[p : p + len(s)] == s}
+        for i, at in places:
+            covered[i][at : at + g.length] = True
+    for i, b in enumerate(raw):
+        if raw.count(b) == 1 and len(b) >= 400 and i not in (11, 12, 13):  # their one anchor is crowded
+            assert int(covered[i].sum()) == brute_repeats(texts)[i][1], i
+    left, right = np.array([list(b"aab"), list(b"aac"), list(b"xyz"), list(b"aab")], np.uint8), np.array([list(b"pqr"), list(b"pqr"), list(b"pqq"), list(b"pzz")], np.uint8)
+    n = np.full(4, 3)
+    got = {(w, h, tuple(sorted(m.tolist()))) for w, h, m in repeats.maximal_repeats(left, n, right, n, 1)}
+    assert got == {(2, 3, (0, 1)), (0, 2, (0, 1, 2)), (2, 1, (0, 1, 3)), (3, 1, (0, 3)), (0, 1, (0, 1, 2, 3))}
+
+
 def test_intervals():
     s = sorted(["abcx", "abcy", "abz", "b", "b"])
     lcp = [len(a) - len(a[next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b))) :]) for a, b in zip(s, s[1:], strict=False)]
