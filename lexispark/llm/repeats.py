@@ -28,7 +28,7 @@ from .packed import Packer, by_part, parts_for, runs, schema, unpacked
 LENGTH = 400
 GRAM = 300
 MOST = 200
-HOT = 8  # entries of one anchor in a task's buffer that settle it as crowded
+HOT = 32  # entries of one anchor in a task's buffer that settle it as crowded
 ASKS, MARKS, SETTLED = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15
 CONTEXT = ["keys", "texts", "places", "left", "right", "n_left", "n_right"]
@@ -147,13 +147,13 @@ def meet(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.nd
 
 
 def thinned(keys: np.ndarray, texts: np.ndarray, places: np.ndarray, most: int) -> list[np.ndarray]:
-    """A buffer's distinct entries with flags; those of keys with more than `most` are settled and go by text, with one marker to the key's part."""
+    """A buffer's distinct entries with flags; those of keys with more than `most` are settled and go by text and stretch of it, with one marker to the key's part."""
     keys, texts, places = distinct_entries(keys, texts, places)
     starts, ends = runs(keys)
     size = ends - starts
     hot = np.repeat(size > most, size)
     first = starts[size > most]
-    route = np.concatenate([np.where(hot, mix64(texts.view(np.uint64)), keys), keys[first]])
+    route = np.concatenate([np.where(hot, mix64(texts.view(np.uint64) + (places >> 16).astype(np.uint64)), keys), keys[first]])
     flags = np.concatenate([np.where(hot, SETTLED, ASKS), np.full(len(first), MARKS)]).astype(np.uint8)
     return [route, np.append(texts, texts[first]), np.append(places, places[first]), flags]
 
