@@ -26,11 +26,14 @@ def novel_pieces(own: DataFrame, base: DataFrame, limit: int | None = 200) -> Da
 
 def compare(df: DataFrame, own: str, base: str, source: str = "source", index: str = "ord") -> DataFrame:
     """Per sample: token counts, ratio base / own (0 without own tokens), shared and exclusive distinct pieces, a preview."""
-    size = lambda x: F.size(x)
-    return df.select(
-        F.col(index).alias("sample_index"), F.length(source).alias("source_length_chars"), size(own).alias("own_token_count"), size(base).alias("base_token_count"),
-        F.coalesce(ratio(size(base), size(own)), F.lit(0.0)).alias("ratio"), size(F.array_intersect(own, base)).alias("shared_unique"),
-        size(F.array_except(own, base)).alias("own_only_unique"), size(F.array_except(base, own)).alias("base_only_unique"), preview(F.col(source)).alias("source_preview"),
+    rows = df.select(
+        F.col(index).alias("sample_index"), F.length(source).alias("source_length_chars"), F.size(own).alias("own_token_count"), F.size(base).alias("base_token_count"),
+        preview(F.col(source)).alias("source_preview"), F.array_distinct(own).alias("_own"), F.array_distinct(base).alias("_base"),
+    )
+    rows = rows.select("*", F.size(F.array_intersect("_own", "_base")).alias("shared_unique"), F.size("_own").alias("_n_own"), F.size("_base").alias("_n_base"))
+    return rows.select(
+        "sample_index", "source_length_chars", "own_token_count", "base_token_count", F.coalesce(ratio(F.col("base_token_count"), F.col("own_token_count")), F.lit(0.0)).alias("ratio"), "shared_unique",
+        (F.col("_n_own") - F.col("shared_unique")).alias("own_only_unique"), (F.col("_n_base") - F.col("shared_unique")).alias("base_only_unique"), "source_preview",
     )
 
 
@@ -46,4 +49,5 @@ def recommendation(overlap: DataFrame, partial: Column | bool = False) -> DataFr
 
 
 def average_ratio(compared: DataFrame) -> DataFrame:
+    """The mean of the ratios over 0, unrounded; reports average rounded ones (reports.mean_rounded)."""
     return compared.agg(F.avg(F.when(F.col("ratio") > 0, F.col("ratio"))).alias("avg_ratio"))

@@ -151,6 +151,7 @@ class Encoder:
         for i, p in enumerate(pieces):
             self.id.setdefault(p, i)
         self.pieces = pieces
+        self.raw = {p: p.encode() for p in pieces} | {f"<0x{b:02X}>": bytes([b]) for b in range(256)}
         self.rank = {p: i for i, p in enumerate(model.merges)}
         self.kept: dict[str, list[str]] = {}
         self.words = re.compile(WORDS)
@@ -158,19 +159,35 @@ class Encoder:
     def word(self, w: str) -> list[str]:
         if w in self.kept:
             return self.kept[w]
-        s = list(w)
-        while len(s) > 1:
-            best = min(((self.rank.get(p, len(self.rank)), k) for k, p in enumerate(zip(s, s[1:], strict=False))))
-            if best[0] == len(self.rank):
-                break
-            k = best[1]
-            s[k : k + 2] = [s[k] + s[k + 1]]
+        s = self.merged(list(w))
         out = [q for p in s for q in ([p] if p in self.id else [f"<0x{b:02X}>" for b in p.encode()])]
         if len(self.kept) > 500_000:
             self.kept.clear()
         self.kept[w] = out
         return out
 
+    def merged(self, s: list[str]) -> list[str]:
+        """The pieces of a word's characters: the pair of least rank first, the leftmost of equals, from a heap of pairs."""
+        rank, n = self.rank, len(s)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, k) for k, p in enumerate(zip(s, s[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if not s[k] or j < 0 or rank.get((s[k], s[j])) != r:
+                continue  # one of the two was merged since
+            s[k], s[j] = s[k] + s[j], ""
+            after[k] = i = after[j]
+            if i >= 0:
+                before[i] = k
+                if (r := rank.get((s[k], s[i]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            h = before[k]
+            if h >= 0 and (r := rank.get((s[h], s[k]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in s if x]
+
     def encode(self, text: str) -> list[str]:
         out: list[str] = []
         for part, symbol in cut_symbols(text.replace(" ", SPACE), self.symbols):
@@ -178,19 +195,21 @@ class Encoder:
         return out
 
     def decode(self, pieces: list[str]) -> str:
-        raw = b"".join(bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.encode() for p in pieces)
+        raw = b"".join(map(self.raw.__getitem__, pieces))
         return raw.decode("utf-8", "replace").replace(SPACE, " ")
 
 
-def encode(df: DataFrame, model: Model, source: str = "source") -> DataFrame:
-    """df with ids, pieces and decoded."""
+def encode(df: DataFrame, model: Model, source: str = "source", decode: bool = True) -> DataFrame:
+    """df with ids, pieces and, if asked for, decoded. A task encodes each word it has met once."""
+    kinds = "ids:array<int>,pieces:array<string>" + ",decoded:string" * decode
 
-    @F.pandas_udf("struct<ids:array<int>,pieces:array<string>,decoded:string>")
+    @F.pandas_udf(f"struct<{kinds}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = Encoder(model)
         for s in batches:
             p = [e.encode(t) for t in s.fillna("")]
-            yield pd.DataFrame({"ids": [[e.id[x] for x in y] for y in p], "pieces": p, "decoded": [e.decode(y) for y in p]})
+            out = {"ids": [[*map(e.id.__getitem__, y)] for y in p], "pieces": p}
+            yield pd.DataFrame(out | ({"decoded": [e.decode(y) for y in p]} if decode else {}))
 
     return df.withColumn("_e", run(F.col(source))).select(*df.columns, "_e.*")
 

@@ -76,7 +76,10 @@ def sample_exact(df: DataFrame, k: int, seed: int = 42, ord_: str = "ord") -> Da
 
 
 def with_positions(df: DataFrame, ord_: str = "ord") -> DataFrame:
-    """df with _n, gapless from 0 in the order of ord_, by counts of range partitions."""
+    """df with _n, gapless from 0 in the order of ord_, by counts of range partitions.
+
+    The rows stay persisted while the result is in use; Spark drops them with the session or under memory pressure.
+    """
     rows = df.repartitionByRange(ord_).sortWithinPartitions(ord_).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
     counts = sorted((r["_p"], r["count"]) for r in rows.groupBy("_p").count().collect())  # a row for each partition
     before, base = 0, []

@@ -30,7 +30,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).withColumn("rx", tokenizers.regex_pieces(F.col("source"))).withColumn("ch", tokenizers.char_pieces(F.col("source")))
+    return scans.spread(docs(spark, d)).withColumn("rx", tokenizers.regex_pieces(F.col("source"))).withColumn("ch", tokenizers.char_pieces(F.col("source")))
 
 
 def vocab(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ MASK = "regexp_replace(source, '(?s)\"(?:[^\"\\\\]|\\\\.)*\\\\?(\"?)', '\"<STR>\
 
 @query(f"WITH {BASE}, m AS (SELECT ord, {MASK} AS source, rx, ch FROM d), u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sha256(source) ORDER BY ord) = 1), e AS (SELECT ord, source, regexp_extract_all(source, '{RX}') AS rx, length(source) AS n FROM u) SELECT count(*) AS program_count, avg(len(rx)) AS own_mean, median(len(rx)) AS own_median, CAST(list_sort(list(len(rx)))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS DOUBLE) AS own_p95, sum(len(rx))::DOUBLE / sum(n) AS compression_ratio FROM e")
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
-    masked = docs(spark, d).withColumn("source", T.mask_literals(F.col("source")))
+    masked = scans.spread(docs(spark, d)).withColumn("source", T.mask_literals(F.col("source")))
     e = corpus.dedup_first(masked).withColumn("rx", tokenizers.regex_pieces(F.col("source"))).withColumn("n", F.length("source"))
     main = e.agg(F.count("*").alias("program_count"), F.avg(F.size("rx")).alias("own_mean"), F.median(F.size("rx")).alias("own_median"), metrics.compression_ratio(F.size("rx"), F.col("n")).alias("compression_ratio"))
     return main.join(F.broadcast(metrics.p95(e.select(F.size("rx").alias("v")), "v").withColumnRenamed("p95", "own_p95")), F.lit(True)).select("program_count", "own_mean", "own_median", "own_p95", "compression_ratio")
@@ -237,8 +237,7 @@ def expansions(spark, d):
 @query("SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS ord, source FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text || chr(10) || chr(10) || role, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS b, unnest(range(1, len(b) + 1)) AS i, b[i] AS source FROM conversations)")
 def program_blocks(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").withColumn("value", F.concat("text", F.lit("\n\n"), "role"))
-    blocks = F.filter(F.transform(F.split("value", "\n\n", -1), T.strip), lambda x: x != "")
-    return t.select("conv_id", "turn", F.posexplode(blocks).alias("ord", "source"))
+    return scans.programs(t, F.col("value"), "conv_id", "turn")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -269,7 +268,7 @@ def bpe_merges(spark, d):
 @query("SELECT count(*) AS passed, count(*) AS total, 100.0::DOUBLE AS coverage FROM documents")
 def bpe_roundtrip(spark, d):
     model = bpe.train(spark.read.parquet(f"{d}/benchmark.parquet"), bpe.Config(vocab_size=600), "text")
-    e = bpe.encode(docs(spark, d), model)
+    e = bpe.encode(scans.spread(docs(spark, d)), model)
     return e.agg(*metrics.roundtrip(F.col("decoded") == F.col("source")), metrics.coverage_percent(F.col("ids"), 0).alias("coverage"))
 
 
