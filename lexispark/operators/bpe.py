@@ -7,6 +7,7 @@ digits and other characters; user symbols are cut out first, longest first. A sp
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -51,10 +52,11 @@ class Model:
     merges: list[tuple[str, str]] = field(default_factory=list)
     chars: list[str] = field(default_factory=list)
     symbols: tuple[str, ...] = ()
+    scores: dict[str, float] = field(default_factory=dict)  # of a unigram model's pieces, the best first
 
     def pieces(self) -> list[str]:
-        """By id: unknown, begin, end, symbols, 256 bytes, merged pieces by rank, characters by frequency."""
-        return ["<unk>", "<s>", "</s>", *self.symbols, *(f"<0x{b:02X}>" for b in range(256)), *dict.fromkeys(a + b for a, b in self.merges), *self.chars]
+        """By id: unknown, begin, end, symbols, 256 bytes, then merged pieces by rank and characters by frequency, or scored pieces."""
+        return ["<unk>", "<s>", "</s>", *self.symbols, *(f"<0x{b:02X}>" for b in range(256)), *dict.fromkeys(a + b for a, b in self.merges), *self.chars, *self.scores]
 
     def first_learned(self) -> int:
         return 3 + len(self.symbols) + 256
@@ -124,17 +126,72 @@ def learn(words: Iterator[tuple[str, int]], n_merges: int, longest: int = 16) ->
     return merges, [c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], x[0]))]
 
 
+def best_split(word: str, scores: dict[str, float], longest: int) -> list[str]:
+    """The pieces of the greatest sum of scores; a character without a score stands alone, far below every piece."""
+    worst = min(scores.values(), default=0.0) - 10.0
+    best, cut = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        top, at = best[e - 1] + scores.get(word[e - 1], worst), e - 1
+        for s in range(max(0, e - longest), e - 1):
+            v = scores.get(word[s:e])
+            if v is not None and best[s] + v > top:
+                top, at = best[s] + v, s
+        best.append(top)
+        cut.append(at)
+    out, e = [], len(word)
+    while e:
+        out.append(word[cut[e] : e])
+        e = cut[e]
+    return out[::-1]
+
+
+def learn_unigram(words: Iterator[tuple[str, int]], size: int, longest: int = 16, seeds: int = 8, keep: float = 0.75) -> dict[str, float]:
+    """Log probabilities of at most `size` pieces, the best first, among them every character.
+
+    Seeds are the substrings of the greatest count times length, `seeds` times as many as asked for. Each round splits
+    every word at its best (hard expectation maximisation), counts the pieces, and keeps the most useful share.
+    """
+    words = [*words]
+    chars: Counter[str] = Counter()
+    subs: Counter[str] = Counter()
+    for w, n in words:
+        for ch in w:
+            chars[ch] += n
+        for s in range(len(w)):
+            for e in range(s + 2, min(len(w), s + longest) + 1):
+                subs[w[s:e]] += n
+    if len(chars) > size:
+        raise ValueError("vocabulary size too low for the corpus")
+    some = sorted((p for p, n in subs.items() if n > 1), key=lambda p: (-subs[p] * len(p), p))[: seeds * size]
+    count = {p: float(subs[p]) for p in some} | {c: float(n) for c, n in chars.items()}
+    while True:
+        total = math.log(sum(count.values()) or 1.0)
+        scores = {p: math.log(n) - total for p, n in count.items()}
+        if len(scores) <= size:
+            return dict(sorted(scores.items(), key=lambda x: (-x[1], x[0])))
+        used: Counter[str] = Counter()
+        for w, n in words:
+            for p in best_split(w, scores, longest):
+                used[p] += n
+        room = max(size, int(len(scores) * keep)) - len(chars)
+        long = sorted((p for p in scores if len(p) > 1), key=lambda p: (-used[p] * len(p), p))[:room]
+        count = {p: max(used[p], 0.5) for p in long} | {c: max(used[c], 0.5) for c in chars}
+
+
 def train(df: DataFrame, config: Config, source: str = "source") -> Model:
-    """The histogram is counted in Spark; its distinct words are streamed to the merge loop. ValueError if the corpus cannot fill the vocabulary."""
+    """The histogram is counted in Spark; its distinct words are streamed to the learner. ValueError if the corpus cannot fill the vocabulary."""
     if config.model_type not in MODEL_TYPES:
         raise ValueError(f"model type: {config.model_type}")
-    if config.model_type == "unigram":
-        raise ValueError("unigram models are read, not trained")
     words = ((r["word"], r["n"]) for r in histogram(df, source, config.user_defined_symbols).orderBy("word").toLocalIterator())
     base = special_tokens(config.user_defined_symbols) + 256
     if config.model_type == "word":
         top = sorted(words, key=lambda x: (-x[1], x[0]))[: max(0, config.vocab_size - base)]
         return Model([], [w for w, _ in top], config.user_defined_symbols)
+    if config.model_type == "unigram":
+        scores = learn_unigram(words, max(0, config.vocab_size - base))
+        if len(scores) < config.vocab_size - base:
+            raise ValueError("vocabulary size too high for the corpus")
+        return Model([], [], config.user_defined_symbols, scores)
     merges, chars = learn(words, 0 if config.model_type == "char" else 1 << 30 if config.vocab_size <= 0 else max(0, config.vocab_size - base))
     room = config.vocab_size - base - len(chars)
     if room < 0 or config.model_type == "bpe" and len(merges) < room:
@@ -147,7 +204,7 @@ class Encoder:
 
     def __init__(self, model: Model) -> None:
         pieces = model.pieces()
-        self.symbols, self.id = model.symbols, {}
+        self.symbols, self.scores, self.id = model.symbols, model.scores, {}
         for i, p in enumerate(pieces):
             self.id.setdefault(p, i)
         self.pieces = pieces
@@ -159,7 +216,7 @@ class Encoder:
     def word(self, w: str) -> list[str]:
         if w in self.kept:
             return self.kept[w]
-        s = self.merged(list(w))
+        s = best_split(w, self.scores, max(map(len, self.scores))) if self.scores else self.merged(list(w))
         out = [q for p in s for q in ([p] if p in self.id else [f"<0x{b:02X}>" for b in p.encode()])]
         if len(self.kept) > 500_000:
             self.kept.clear()
@@ -220,10 +277,13 @@ def save(spark: SparkSession, model: Model, path: str) -> None:
     spark.createDataFrame([("char", i, c) for i, c in enumerate(model.chars)] + [("symbol", i, s) for i, s in enumerate(model.symbols)], "kind string, at int, piece string").write.mode("overwrite").parquet(f"{path}/base")
 
 
+    spark.createDataFrame([*map(tuple, model.scores.items())], "piece string, score double").write.mode("overwrite").parquet(f"{path}/scores")
+
+
 def load(spark: SparkSession, path: str) -> Model:
     merges = [(r["a"], r["b"]) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
     base = spark.read.parquet(f"{path}/base").orderBy("at").collect()
-    return Model(merges, [r["piece"] for r in base if r["kind"] == "char"], tuple(r["piece"] for r in base if r["kind"] == "symbol"))
+    return Model(merges, [r["piece"] for r in base if r["kind"] == "char"], tuple(r["piece"] for r in base if r["kind"] == "symbol"), {r["piece"]: r["score"] for r in spark.read.parquet(f"{path}/scores").orderBy(F.desc("score"), "piece").collect()})
 
 
 def pair_counts(df: DataFrame, source: str = "source") -> DataFrame:

@@ -35,10 +35,13 @@ def prepare(spark: SparkSession, input_: str, output_dir: str, split: float = 0.
     unique = corpus.dedup_first(masked)
     parts = corpus.split_exact(unique, split, seed) if exact else corpus.split_by_hash(unique, split, seed).withColumn("pos", F.col("ord"))
     parts = parts.select(F.col("pos").alias("ord"), "source", "split").persist()
-    Path(output_dir).mkdir(parents=True, exist_ok=True)
     out = {"total": masked.count(), "rejected": rejects.count()}
+    # the exact split makes one file of each part; the hashed one, which is for any size, folders of files
+    write = sinks.write_program_text if exact else sinks.write_program_parts
     for name in ("train", "valid"):
-        out[name] = sinks.write_program_text(parts.filter(F.col("split") == name), f"{output_dir}/{name}.txt")
+        out[name] = write(parts.filter(F.col("split") == name), f"{output_dir}/{name}.txt")
+    for df in (masked, parts):
+        df.unpersist()
     return out | {"unique": out["train"] + out["valid"]}
 
 
@@ -60,6 +63,7 @@ def train(spark: SparkSession, input_: str, output_dir: str, vocab_size: int = 8
 
 
 def evaluate(spark: SparkSession, model_dir: str, test_data: str, output: str | None = None, baseline: str = "regex", dry_run: bool = False) -> dict:
+    """model_dir: a saved model or a tokenizer file; baseline: a built-in encoder's name or a tokenizer file."""
     must_exist(model_dir, "model")
     must_exist(test_data, "test data")
     programs = scans.read_programs(spark, test_data)
@@ -67,14 +71,28 @@ def evaluate(spark: SparkSession, model_dir: str, test_data: str, output: str |
         raise UsageError("no programs")
     if dry_run:
         return {"program_count": programs.count()}
-    model = bpe.load(spark, model_dir)
-    both = bpe.encode(programs, model).withColumn("base", tokenizers.PIECES[baseline](F.col("source"))).persist()
-    report = reports.as_dict(reports.evaluation(both, "pieces", "base", len(model.pieces())))
+    if Path(model_dir).is_file():
+        vocab, encode = foreign(model_dir, "model")
+        size, both = len(vocab), programs.withColumn("_e", encode(F.col("source"))).select("ord", "source", "_e.pieces")
+    else:
+        model = bpe.load(spark, model_dir)
+        size, both = len(model.pieces()), bpe.encode(programs, model, decode=False)
+    base = tokenizers.PIECES.get(baseline) or (lambda c: foreign(baseline, "baseline")[1](c)["pieces"])
+    both = both.withColumn("base", base(F.col("source"))).persist()
+    report = reports.as_dict(reports.evaluation(both, "pieces", "base", size))
+    both.unpersist()
     if output:
         sinks.write_report(report, output)
     return report
 
 
+def foreign(path: str, what: str) -> tuple[list[str], tokenizers.Encode]:
+    found = tokenizers.open_tokenizer(path)
+    if not found:
+        raise UsageError(f"{what} cannot be opened: {path} (no such encoder or file, or its library is missing)")
+    return found
+
+
 def encoded_metrics(encoded: DataFrame) -> DataFrame:
     """Tokens per character, coverage and tokens in all, from one encoding."""
     return encoded.agg(metrics.tokens_per_char(F.col("pieces"), F.col("source")).alias("tokens_per_char"), metrics.coverage_percent(F.col("ids"), 0).alias("coverage"), F.sum(F.size("ids")).alias("tokens"))
@@ -92,24 +110,36 @@ def model_report(spark: SparkSession, model: bpe.Model, sources: DataFrame, n_sa
     return {"tokens_per_char": row["tokens_per_char"], "coverage": row["coverage"], "roundtrip": f"{ok['passed']}/{ok['total']}", "passed": ok["passed"], "total": ok["total"], "tokens_per_line": per_line, "single_tokens": single}
 
 
+def rounded(report: dict) -> dict:
+    """A model's report as it is written: Python's rounding of the exact binary value."""
+    digits = {"tokens_per_char": 4, "tokens_per_line": 2, "coverage": 2}
+    return {k: round(v, digits[k]) if k in digits else v for k, v in report.items()}
+
+
 def retrain(spark: SparkSession, corpus_jsonl: str, output_dir: str, fields: tuple[str, ...], vocab_size: int = 8000, old_model: str | None = None, install_to: str | None = None) -> dict:
-    """Distinct unmasked sources, a model with the required symbols forced, five metrics, comparison with an old model, promotion if all patterns are single."""
+    """Distinct unmasked sources, their training text, a model with the required symbols forced, five metrics, comparison with an old model, promotion if all patterns are single."""
     must_exist(corpus_jsonl, "corpus")
     sources = corpus.dedup_first(scans.read_fallback_jsonl(spark, corpus_jsonl, fields)).persist()
-    n = sources.count()
+    text = f"{output_dir}/data/train.txt"
+    n = sinks.write_program_text(sources, text)
     if not n:
         raise UsageError("no sources")
-    config = bpe.Config(input=corpus_jsonl, vocab_size=vocab_size, user_defined_symbols=tuple(patterns.REQUIRED))
+    config = bpe.Config(input=text, vocab_size=vocab_size, user_defined_symbols=tuple(patterns.REQUIRED))
     model = bpe.train(sources, config)
     bpe.save(spark, model, f"{output_dir}/model")
     new = model_report(spark, model, sources)
-    out = {"unique": n, "vocab_size": vocab_size, "new": {k: round(v, 4) if isinstance(v, float) else v for k, v in new.items()}}
+    encoder = bpe.Encoder(model)
+    out = {
+        "unique": n, "vocab_size": vocab_size, "training_bytes": Path(text).stat().st_size, "user_defined_symbols": list(config.user_defined_symbols), "new": rounded(new),
+        "patterns": {p: {"is_single_token": ok, "pieces": encoder.encode(p)} for p, ok in new["single_tokens"].items()},
+    }
     if old_model and Path(old_model).exists():
         old = model_report(spark, bpe.load(spark, old_model), sources)
         out["old_model_comparison"] = {
-            "tokens_per_char_old": round(old["tokens_per_char"], 4), "tokens_per_char_improvement": round(old["tokens_per_char"] - new["tokens_per_char"], 4),
-            "tokens_per_line_improvement": round(old["tokens_per_line"] - new["tokens_per_line"], 2), "changed": [p for p in patterns.REQUIRED if old["single_tokens"][p] != new["single_tokens"][p]],
+            "old": rounded(old), "tokens_per_char_improvement": round(old["tokens_per_char"] - new["tokens_per_char"], 4), "tokens_per_line_improvement": round(old["tokens_per_line"] - new["tokens_per_line"], 2),
+            "coverage_change": round(new["coverage"] - old["coverage"], 2), "changed": [p for p in patterns.REQUIRED if old["single_tokens"][p] != new["single_tokens"][p]],
         }
+    sources.unpersist()
     if install_to:
         out["installed"] = sinks.promote(f"{output_dir}/model", install_to, all(new["single_tokens"].values()))
     sinks.write_report(out, f"{output_dir}/retrain.json")
@@ -124,7 +154,7 @@ def syntax(spark: SparkSession, model_dir: str, train_text: str, corpus_dir: str
     single = lambda cats: (sum(r["is_single_token"] for c in cats for r in found[c]), sum(len(found[c]) for c in cats))
     (new, new_total), (old, old_total) = single(patterns.NEW), single(patterns.OLD)
     vocab = spark.createDataFrame(list(enumerate(model.pieces())), "id int, piece string")
-    hits = {r["term"]: r["hits"] for r in patterns.vocab_search(vocab, patterns.terms(spark), model.first_learned()).orderBy("first_id").collect()}
+    hits = {r["term"]: r["hits"] for r in patterns.vocab_search(vocab, patterns.terms(spark), model.first_learned()).orderBy("first_id", "term").collect()}
     training = None
     if Path(train_text).exists():
         training = patterns.syntax_counts(spark.read.text(train_text, wholetext=True), "value").first().asDict()
@@ -142,28 +172,41 @@ def syntax(spark: SparkSession, model_dir: str, train_text: str, corpus_dir: str
     return report
 
 
-def align(spark: SparkSession, model_dir: str, base_vocab: str | None, corpus_dir: str | None, fields: tuple[str, ...], base_pieces: Column | None = None, samples: int = 100, output_dir: str | None = None) -> dict:
-    """Vocabulary overlap and, where a foreign encoder is at hand, per-sample comparison; partial without a foreign vocabulary."""
+def align(spark: SparkSession, model_dir: str, base_vocab: str | None, corpus_dir: str | None, fields: tuple[str, ...], base_pieces: Column | None = None, samples: int = 100, output_dir: str | None = None, base_tokenizer: str | None = None) -> dict:
+    """Vocabulary overlap and, where a foreign encoder is at hand, per-sample comparison; partial without a foreign vocabulary.
+
+    base_tokenizer, a tokenizer file, gives vocabulary and encoder; where it cannot be opened, the result is partial.
+    Ratios are rounded before they are averaged.
+    """
     must_exist(model_dir, "model")
     model = bpe.load(spark, model_dir)
     own = spark.createDataFrame([(p,) for p in model.pieces()], "piece string")
-    partial = not (base_vocab and Path(base_vocab).exists())
-    base = own.limit(0) if partial else scans.read_vocab_json(spark, base_vocab)
+    found = tokenizers.open_tokenizer(base_tokenizer) if base_tokenizer else None
+    partial = not found and not (base_vocab and Path(base_vocab).exists())
+    base = spark.createDataFrame([(p,) for p in found[0]], "piece string") if found else own.limit(0) if partial else scans.read_vocab_json(spark, base_vocab)
     overlap = alignment.vocab_overlap(own, base).persist()
     rec = alignment.recommendation(overlap, partial).first().asDict()
     compared: list[dict] = []
     expanded: list[dict] = []
     if not partial and corpus_dir and Path(corpus_dir).is_dir():
         sources = corpus.sample_exact(corpus.dedup_first(scans.read_directory(spark, corpus_dir, fields)), samples).select(F.col("pos").alias("ord"), "source")
-        both = bpe.encode(sources, model).withColumn("base", base_pieces if base_pieces is not None else tokenizers.regex_pieces(F.col("source")))
+        if base_pieces is None:
+            base_pieces = found[1](F.col("source"))["pieces"] if found else tokenizers.regex_pieces(F.col("source"))
+        both = bpe.encode(sources, model, decode=False).withColumn("base", base_pieces)
         c = alignment.compare(both, "pieces", "base").persist()
-        compared = [r.asDict() for r in c.orderBy("sample_index").collect()]
-        expanded = [r.asDict() for r in alignment.expansions(c).collect()]
+        compared = [r.asDict() | {"ratio": round(r["ratio"], 3)} for r in c.orderBy("sample_index").collect()]
+        expanded = [r.asDict() | {"ratio": round(r["ratio"], 3)} for r in alignment.expansions(c).collect()]
+        c.unpersist()
+        average = reports.mean_rounded([x["ratio"] for x in compared])
+        rec |= {"average_ratio": round(average, 3)} if average is not None else {}
     novel = [r["piece"] for r in alignment.novel_pieces(own, base).collect()]
-    report = {"overlap": overlap.first().asDict() | {"novel_pieces": novel}, "recommendation": rec, "partial": partial} | ({"samples": compared, "expansions": expanded} if compared else {})
+    digits = {"jaccard": 6, "overlap_pct": 2, "novel_pct": 2}
+    total = {k: round(v, digits[k]) if k in digits else v for k, v in overlap.first().asDict().items()}
+    overlap.unpersist()
+    report = {"overlap": total | {"novel_pieces": novel}, "recommendation": rec | {"novel_pct": total["novel_pct"]}, "partial": partial} | ({"samples": compared, "expansions": expanded} if compared else {})
     if output_dir:
         sinks.write_report(report, f"{output_dir}/alignment.json")
-        Path(output_dir, "alignment.md").write_text(reports.alignment_markdown(overlap.first().asDict(), novel, compared, expanded, rec, partial), encoding="utf-8")
+        Path(output_dir, "alignment.md").write_text(reports.alignment_markdown(total, novel, compared, expanded, rec, partial), encoding="utf-8")
     return report
 
 
@@ -172,24 +215,25 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     sub = p.add_subparsers(dest="program", required=True)
     fields = {"nargs": "+", "default": list(scans.FIELDS)}
     x = sub.add_parser("prepare")
-    x.add_argument("--input", required=True), x.add_argument("--output-dir", required=True), x.add_argument("--split", type=float, default=0.9), x.add_argument("--seed", type=int, default=42)
+    x.add_argument("--input", required=True), x.add_argument("--output-dir", required=True), x.add_argument("--split", type=float, default=0.9), x.add_argument("--seed", type=int, default=42), x.add_argument("--hash-split", action="store_true", help="split by hash and write folders, for corpora of any size")
     x = sub.add_parser("train")
     x.add_argument("--input", required=True), x.add_argument("--output-dir", required=True), x.add_argument("--vocab-size", type=int, default=8000), x.add_argument("--model-type", choices=bpe.MODEL_TYPES, default="bpe"), x.add_argument("--dry-run", action="store_true")
     x = sub.add_parser("eval")
-    x.add_argument("--model", required=True), x.add_argument("--test-data", required=True), x.add_argument("--output"), x.add_argument("--baseline", choices=list(tokenizers.PIECES), default="regex"), x.add_argument("--dry-run", action="store_true")
+    x.add_argument("--model", required=True), x.add_argument("--test-data", required=True), x.add_argument("--output"), x.add_argument("--baseline", default="regex", help=f"{', '.join(tokenizers.PIECES)} or a tokenizer file"), x.add_argument("--dry-run", action="store_true")
     x = sub.add_parser("retrain")
     x.add_argument("--corpus-jsonl", required=True), x.add_argument("--output-dir", required=True), x.add_argument("--old-model"), x.add_argument("--install-to"), x.add_argument("--vocab-size", type=int, default=8000), x.add_argument("--fields", **fields)
     x = sub.add_parser("syntax")
     x.add_argument("--model", required=True), x.add_argument("--train-text", required=True), x.add_argument("--corpus-dir", required=True), x.add_argument("--output"), x.add_argument("--fields", **fields)
     x = sub.add_parser("align")
-    x.add_argument("--model", required=True), x.add_argument("--base-vocab"), x.add_argument("--corpus-dir"), x.add_argument("--output-dir", default="data"), x.add_argument("--sample-count", type=int, default=100), x.add_argument("--fields", **fields)
+    x.add_argument("--model", required=True), x.add_argument("--base-vocab"), x.add_argument("--base-tokenizer"), x.add_argument("--corpus-dir"), x.add_argument("--output-dir", default="data"), x.add_argument("--sample-count", type=int, default=100), x.add_argument("--fields", **fields)
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     try:
         if a.program == "prepare":
-            print(prepare(spark, a.input, a.output_dir, a.split, a.seed))
+            print(prepare(spark, a.input, a.output_dir, a.split, a.seed, not a.hash_split))
         elif a.program == "train":
-            print(train(spark, a.input, a.output_dir, a.vocab_size, a.model_type, a.dry_run))
+            r = train(spark, a.input, a.output_dir, a.vocab_size, a.model_type, a.dry_run)
+            print(reports.configuration(r) if a.dry_run else reports.vocabulary(r["vocab_size"], r["special_tokens"], r["merges"]))
         elif a.program == "eval":
             r = evaluate(spark, a.model, a.test_data, a.output, a.baseline, a.dry_run)
             print(r if a.dry_run else reports.summary(r))
@@ -198,9 +242,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             n = r["new"]
             print(reports.retraining(r["vocab_size"], n["tokens_per_char"], n["single_tokens"], n["coverage"], n["passed"], n["total"]))
         elif a.program == "syntax":
-            print(syntax(spark, a.model, a.train_text, a.corpus_dir, tuple(a.fields), a.output)["verdict"])
+            r = syntax(spark, a.model, a.train_text, a.corpus_dir, tuple(a.fields), a.output)
+            print("\n".join(f"{t}: {n}" for t, n in sorted(r["vocab_hits"].items())), r["verdict"], sep="\n")
         else:
-            print(align(spark, a.model, a.base_vocab, a.corpus_dir, tuple(a.fields), None, a.sample_count, a.output_dir)["recommendation"])
+            print(align(spark, a.model, a.base_vocab, a.corpus_dir, tuple(a.fields), None, a.sample_count, a.output_dir, a.base_tokenizer)["recommendation"])
     except (UsageError, ValueError) as e:
         print(f"ERROR: {e}", file=sys.stderr)
         return 1

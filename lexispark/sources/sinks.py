@@ -24,13 +24,10 @@ def write_program_text(df: DataFrame, path: str) -> int:
     return n
 
 
-def write_program_parts(df: DataFrame, path: str) -> None:
-    """The same records as many text files, for corpora that no single file should hold."""
+def write_program_parts(df: DataFrame, path: str) -> int:
+    """The same records as many text files in a folder, for corpora that no single file should hold; their number."""
     df.repartitionByRange("ord").sortWithinPartitions("ord").select(rstrip_newlines(F.col("source"))).write.mode("overwrite").option("lineSep", "\n\n").text(path)
-
-
-def write_splits(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    return df.count()
 
 
 def write_report(report: dict, path: str) -> str:
