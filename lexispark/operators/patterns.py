@@ -61,6 +61,12 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "pattern").withColumn("changed", F.col("old_single") != F.col("new_single"))
 
 
+def looked_up(wanted: DataFrame, checked: DataFrame) -> DataFrame:
+    """wanted with the results of its patterns; a pattern that was not checked is no single token. Both are short fixed lists."""
+    found = checked.select("pattern", "num_pieces", "is_single_token").dropDuplicates(["pattern"])
+    return wanted.join(F.broadcast(found), "pattern", "left").withColumn("is_single_token", F.coalesce("is_single_token", F.lit(False)))
+
+
 def vocab_search(vocab: DataFrame, terms_: DataFrame, first_id: int = 0) -> DataFrame:
     """term, hits, first_id, entries (id, piece) of the pieces that contain a term; terms without hits are absent.
 

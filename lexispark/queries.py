@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import alignment, bpe, corpus, metrics, patterns, tokenizers
-from .plans import reports
 from .sources import scans
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -249,29 +248,27 @@ def json_fields(spark, d):
 WORD_SQL = "▁?(?:[A-Za-z_]+|[0-9]+|[^A-Za-z_0-9\\s▁]+)|▁|\\n|[^\\S\\n]"
 
 
-@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, ' ', '▁'), '{WORD_SQL}')) AS word FROM benchmark) WHERE word <> chr(10) GROUP BY word")
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, ' ', '▁'), '{WORD_SQL}')) AS word FROM documents) WHERE word <> chr(10) GROUP BY word")
 def bpe_histogram(spark, d):
-    return bpe.histogram(spark.read.parquet(f"{d}/benchmark.parquet"), "text")
+    return bpe.histogram(scans.spread(docs(spark, d)))
 
 
-@query(f"WITH w AS (SELECT unnest(regexp_extract_all(replace(text, ' ', '▁'), '{WORD_SQL}')) AS word FROM benchmark), p AS (SELECT word, unnest(range(1, length(word))) AS i FROM w WHERE word <> chr(10) AND length(word) > 1) SELECT word[i] AS a, word[i + 1] AS b, count(*) AS n FROM p GROUP BY 1, 2")
+@query(f"WITH w AS (SELECT unnest(regexp_extract_all(replace(text, ' ', '▁'), '{WORD_SQL}')) AS word FROM documents), p AS (SELECT word, unnest(range(1, length(word))) AS i FROM w WHERE word <> chr(10) AND length(word) > 1) SELECT word[i] AS a, word[i + 1] AS b, count(*) AS n FROM p GROUP BY 1, 2")
 def bpe_pair_counts(spark, d):
-    return bpe.pair_counts(spark.read.parquet(f"{d}/benchmark.parquet"), "text")
+    return bpe.pair_counts(scans.spread(docs(spark, d)))
 
 
 @query()
 def bpe_merges(spark, d):
-    model = bpe.train(spark.read.parquet(f"{d}/benchmark.parquet"), bpe.Config(vocab_size=600), "text")
+    model = bpe.train(scans.spread(docs(spark, d)), bpe.Config())
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(model.merges)], "rank int, a string, b string")
 
 
 @query("SELECT count(*) AS passed, count(*) AS total, 100.0::DOUBLE AS coverage FROM documents")
 def bpe_roundtrip(spark, d):
-    model = bpe.train(spark.read.parquet(f"{d}/benchmark.parquet"), bpe.Config(vocab_size=600), "text")
+    model = bpe.train(scans.spread(docs(spark, d)), bpe.Config())
     e = bpe.encode(scans.spread(docs(spark, d)), model)
     return e.agg(*metrics.roundtrip(F.col("decoded") == F.col("source")), metrics.coverage_percent(F.col("ids"), 0).alias("coverage"))
 
 
-@query()
-def evaluation_report(spark, d):
-    return reports.evaluation(encoded(spark, d), "rx", "ch", 100_000)
+from . import scan_queries  # noqa: E402, F401  registers the queries over files, reports and programs
