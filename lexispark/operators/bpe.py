@@ -102,24 +102,34 @@ def learn(words: Iterator[tuple[str, int]], n_merges: int, longest: int = 16) ->
         if count.get(p, 0) != -n or n == 0 or len(p[0] + p[1]) > longest:
             continue
         merges.append(p)
+        a, b = p
+        ab = a + b
         changed: set[tuple[str, str]] = set()
         for i in where.pop(p):
-            s, k, out = seqs[i], 0, []
-            for q in zip(s, s[1:], strict=False):
-                count[q] -= freq[i]
-                changed.add(q)
-            while k < len(s):
-                if k + 1 < len(s) and s[k] == p[0] and s[k + 1] == p[1]:
-                    out.append(s[k] + s[k + 1])
-                    k += 2
-                else:
+            s, k, out, f = seqs[i], 0, [], freq[i]
+            last = len(s) - 1
+            while k <= last:
+                if k == last or s[k] != a or s[k + 1] != b:
                     out.append(s[k])
                     k += 1
+                    continue
+                # the pairs on both sides of the merged one make way for those with the new piece
+                if out:
+                    old, new = (out[-1], a), (out[-1], ab)
+                    count[old] -= f
+                    count[new] += f
+                    where[new].add(i)
+                    changed |= {old, new}
+                if k + 2 <= last:
+                    old, new = (b, s[k + 2]), (ab, s[k + 2])
+                    count[old] -= f
+                    count[new] += f
+                    where[new].add(i)
+                    changed |= {old, new}
+                out.append(ab)
+                k += 2
             seqs[i] = out
-            for q in zip(out, out[1:], strict=False):
-                count[q] += freq[i]
-                where[q].add(i)
-                changed.add(q)
+        del count[p]
         for q in changed:
             if count[q] > 0:
                 heapq.heappush(heap, (-count[q], q))
