@@ -135,18 +135,32 @@ def test_top_k(spark):
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
     ids = np.array([*range(300), 50])
     v = np.floor(np.vstack([x, x[3]]).astype(float) * 256)
-    seen = {}
-    for g in got:
-        seen.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
-    for q in range(0, 300, 50):
-        if q == 50:
-            continue
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
         s = v @ v[q]
-        want = sorted((-int(a), int(i)) for a, i in zip(s, ids, strict=True) if i != q)[:5]
-        assert [(i, -a) for a, i in want] == [(i, a) for _, i, a in sorted(seen[q])]
+        best = sorted((-int(a), int(i)) for j, (a, i) in enumerate(zip(s, ids, strict=True)) if j != q)[:5]
+        want += [(int(ids[q]), r, i, -a) for r, (a, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    few = spark.createDataFrame(rows[:3] + rows[:1], "vec_id long, embedding array<float>, rank int")
+    assert [g.vec_id for g in topk.top_k(few).orderBy("rank").collect()].count(0) == 2
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_bounds():
+    """Bounds exclude most outsiders before scores are resolved, and never one of the k best."""
+    r = np.random.RandomState(4)
+    centre = r.randn(8, 32)
+    x = np.floor((centre[r.randint(0, 8, 900)] + 0.2 * r.randn(900, 32)) * 256)
+    q, rows = x[:40], np.arange(900)
+    own = rows[:40, None] == rows[None, :]
+    s = np.where(own, -np.inf, q @ x.T)
+    kth = np.sort(s, axis=1)[:, -5]
+    left = [a.copy() for a in topk.insiders(topk.Lists(x), q, own, np.full(40, -np.inf), 5)]
+    assert all((a | ~(s >= kth[:, None])).all() for a in left) and left[-1].mean() < 0.4
+    told = [a.copy() for a in topk.insiders(topk.Lists(x), q, own, kth, 5)]
+    assert all((a | ~(s >= kth[:, None])).all() for a in told) and told[1].mean() < 0.2
+
+
 def brute_tokens(m, word):
     w = tokencount.MARK + word
     best = [(0, 0)]
