@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -251,11 +252,37 @@ def test_media(docs, texts, spark):
         padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         g = got[i]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        whole = media.write_container(padded)
+        assert (g.media_bytes, g.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+        n = len(padded) // 64
+        assert (g.codec, g.duration, len(g.keyframes)) == ("raw ", len(padded), -(-n // 16))
+        assert b"".join(whole[k.offset :][: k.length] for k in g.keyframes) == b"".join(padded[j * 64 : j * 64 + 64] for j in range(0, n, 16))
+        assert f"samples={n};keyframes={len(g.keyframes)};first={g.keyframes[0].offset}+64;" in g.feature
     big = media.write_container(bytes(range(256)) * 1024)
-    bad = spark.createDataFrame([(0, bytearray(big), "a"), (1, None, "b"), (2, bytearray(b"junk junk junk"), "c"), (3, bytearray(big[:700]), "d")], "i int, media binary, status string")
+    stsz = big.index(b"stsz")
+    claims = big[: stsz + 8] + struct.pack(">II", 0, 400_000_000) + big[stsz + 16 :]
+    fixed = big[: stsz + 8] + struct.pack(">II", 1 << 31, 1 << 31) + big[stsz + 16 :]
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    cases = [(big, "ok"), (None, "empty"), (b"junk junk junk", "malformed"), (big[:700], "malformed"), (claims, "malformed"), (fixed, "malformed"), (deep, "malformed"), (big + media.box(b"moof", b""), "fragmented"), (media.box(b"free", b""), "no track"), (b"", "empty")]
+    r = random.Random(5)
+    index = big.index(b"mdat")
+    for _ in range(300):  # damaged files give a status, whatever the damage
+        x = bytearray(big[: index + 300])
+        for _ in range(r.randint(1, 4)):
+            x[r.randrange(index)] = r.randrange(256)
+        cases.append((bytes(x), None))
+    bad = spark.createDataFrame([(i, bytearray(x) if x is not None else None, "a") for i, (x, _) in enumerate(cases)], "i int, media binary, Status string")
     rows = {r.i: r for r in media.media_columns(bad).collect()}
-    assert [rows[i].status for i in range(4)] == ["ok", "empty", "malformed", "malformed"]
-    assert rows[0].codec == "raw " and rows[0].duration == 256 * 1024 and big[rows[0].keyframes[1].offset :][:64] == (bytes(range(256)) * 1024)[64 * 16 :][:64]
+    assert [rows[i].status for i, (_, s) in enumerate(cases) if s] == [s for _, s in cases if s] and len(rows) == len(cases)
+    t = rows[0].tracks[0]
+    assert t.codec == "raw " and t.duration == 256 * 1024 and big[t.keyframes[1].offset :][:64] == (bytes(range(256)) * 1024)[64 * 16 :][:64]
+    at, end = next((a, b) for p, a, b in media.walk(big, 0, len(big)) if p == (b"moov", b"trak"))
+    moov = big.index(b"moov")
+    both = big[: moov - 4] + media.box(b"moov", big[moov + 4 : end], big[at - 8 : end]) + big[end:]  # a second track with the same tables
+    assert [len(x["at"]) for x in media.read_tracks(both + bytes(0))] == [4096, 4096]
+    assert media.text_digests(docs.limit(0)).count() == 0 and media.media_columns(bad.limit(0)).count() == 0
 
 
 def test_mixture(spark, docs, texts, empty):
