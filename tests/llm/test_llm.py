@@ -360,22 +360,60 @@ def test_toxicity(spark):
 
 def test_shards(spark, docs, texts, empty):
     r = random.Random(1)
-    for n in (1, 3, 7):
-        sizes = [r.randint(0, 20) for _ in range(12)]
-        ends = shards.minimax_cuts(np.array(sizes), n)
-        worst = max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends, strict=False))
-
-        def best(at, k):
-            return sum(sizes[at:]) if k == 1 else min(max(sum(sizes[at:e]), best(e, k - 1)) for e in range(at, 13))  # noqa: B023
-
-        assert ends[-1] == 12 and worst == best(0, n)
+    for n in (1, 3, 7, 24):
+        for many, spread in ((12, 64), (40, 20), (300, 64), (300, 18)):
+            hashes = np.array(sorted({r.randrange(-(1 << spread - 1), 1 << spread - 1) for _ in range(many)}), np.int64) << np.int64(64 - spread)
+            many = len(hashes)
+            sizes = np.array([r.choice([8, 9, r.randint(8, 40), r.randint(8, 900)]) for _ in range(many)], np.int64)
+
+            def ranges(pick, bits):
+                p, at, count = np.unique(hashes[pick] >> np.int64(64 - bits), return_inverse=True, return_counts=True)  # noqa: B023
+                return shards.Ranges(p << np.int64(64 - bits), np.full(len(p), bits), np.bincount(at, sizes[pick]).astype(np.int64), count == 1)  # noqa: B023
+
+            def summed(first, bits):
+                parts = [ranges((hashes >> np.int64(64 - b)) == (f >> np.int64(64 - b)), b + 4) for f, b in zip(first, bits, strict=True)]  # noqa: B023
+                return shards.Ranges(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("first", "bits", "size", "single")))
+
+            capacity, firsts = shards.minimax_cuts(ranges(np.ones(many, bool), 4), int(sizes.max()), n, summed)
+            at = [0, *np.searchsorted(hashes, firsts), many]
+            assert len(at) <= n + 1 and max(sizes[i:j].sum() for i, j in zip(at, at[1:], strict=False)) <= capacity
+
+            def fits(c):
+                used, room = 1, c
+                for x in sizes.tolist():  # noqa: B023
+                    if x > room:
+                        used, room = used + 1, c
+                    room -= x
+                return used <= n and max(sizes) <= c  # noqa: B023
+
+            assert fits(capacity) and not fits(capacity - 1)
     got = shards.sharded(docs).collect()
     assert len(got) == len(texts)
     at = {g.doc_id: g for g in got}
+    size = Counter()
+    for g in docs.select(F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect():
+        size[g.h] += g.n + 8
+    order = [size[h] for h in sorted(size)]
+    for n in (24, 5, 2):
+        load = Counter()
+        for g in shards.sharded(docs, n).collect():
+            load[g.shard] += g["size"]
+
+        def fits(c, n=n):
+            used, room = 1, c
+            for x in order:
+                if x > room:
+                    used, room = used + 1, c
+                room -= x
+            return used <= n and max(order) <= c
+
+        assert set(load) <= set(range(n)) and max(load.values()) == next(c for c in range(max(order), sum(order) + 1) if fits(c))
     assert at[0].shard == at[1].shard and at[6]["size"] == 8 and at[2].text_crc32 == zlib.crc32(texts[2].encode())
     for s in {g.shard for g in got}:
         assert sorted(g.slot for g in got if g.shard == s) == list(range(sum(g.shard == s for g in got)))
     assert shards.sharded(empty).count() == 0
+    same = shards.sharded(docs.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("doc_id"), F.lit("x").alias("text"))).collect()
+    assert {g.shard for g in same} == {0} and sorted(g.slot for g in same) == list(range(50))
 
 
 def test_secrets(spark):
