@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 WINDOW = 16
 MASK_BITS = 10
 LEAST = 256
@@ -90,7 +92,7 @@ class ByteBpe:
         ids = self.raw(text)
         self.kept[key] = ids.astype(np.uint16) if len(self.lengths) <= 1 << 16 else ids
         self.kept_bytes += self.kept[key].nbytes + 200
-        while self.kept_bytes > 48 << 20:
+        while self.kept_bytes > 32 << 20:
             old = next(iter(self.kept))
             self.kept_bytes -= self.kept.pop(old).nbytes + 200
         return ids
@@ -176,9 +178,11 @@ def default_path() -> str:
 def encoded(documents: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """doc_id, ids (if kept), n_tokens, ids_sha256, decoded_sha256 of every whole text; null counts as empty.
 
-    One pass over the rows, nothing shuffled. Rows with equal texts give equal results.
+    One pass over the rows, nothing shuffled. Rows with equal texts give equal results; repeated rows each give a row, an
+    empty table none. Other columns of documents are not kept, so none can clash.
     """
     path = path or default_path()
+    small_batches(documents.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

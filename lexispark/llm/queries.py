@@ -50,7 +50,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_topk, op3_token_counts, op4_jaccard, op5_media, op6_mixture, op7_toxicity, op8_shards, op9_secrets, op10_bpe)}
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL = {
+    "op1_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        page AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 2 * 4495) AS x FROM (SELECT *, unnest(range(0, n, 4096)) AS o FROM d WHERE n >= 400)),
+        s AS (SELECT doc_id, o + p AS p, md5(substr(x, 2 * p + 1, 800)) AS k FROM (SELECT *, unnest(range(0, least(4096, n - 399 - o))) AS p FROM page)),
+        hit AS (SELECT doc_id, p FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+        cut AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, true) AS fresh FROM hit),
+        run AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS e FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM cut) GROUP BY doc_id, r),
+        kept AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS x
+                 FROM (SELECT run.*, d.h, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run JOIN d USING (doc_id)) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE x || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op4_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.other = edge.a)
+        SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)""",
     "op2_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),

@@ -1,7 +1,9 @@
 """Token counts under a unigram model: forward scores are computed once per prefix that distinct pre-tokens share.
 
-The model is the piece list of a public vocabulary file. Its pieces get Zipf scores by rank (whole numbers, millionths
-of a nat): score = -round(1e6 * ln(rank + 2)). A character that no piece covers costs one token per UTF-8 byte, each at
+The model is the piece list of a public vocabulary file with a score for each piece, in millionths of a nat. A caller
+with a unigram table gives its scores; the installed files hold none (theirs are ranks of merges), so by default a piece
+gets the score of Zipf's law for its rank: -round(1e6 * ln(rank + 2)). That is an assumption, and the counts are those
+of this model, not of the file's own tokenizer. A character that no piece covers costs one token per UTF-8 byte, each at
 the least piece's score less ten nats. The best sum wins; ties go to fewer tokens, so a count is always defined.
 Pre-tokens are the runs of bytes other than ASCII white space, each with the vocabulary's word mark before it.
 """
@@ -15,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 MARK = "▁"
 
 
@@ -25,12 +29,12 @@ class PrefixCounts:
     prefix that it shares and computes the rest; terminal counts are kept by pre-token.
     """
 
-    def __init__(self, pieces: list[str]) -> None:
-        self.scores = {}
-        for rank, piece in enumerate(pieces):
+    def __init__(self, pieces: list[str], scores: dict[str, int] | None = None) -> None:
+        self.scores = dict(scores or {})
+        for rank, piece in enumerate(pieces if scores is None else ()):
             self.scores.setdefault(piece, -round(1e6 * math.log(rank + 2)))
         self.longest = max(map(len, self.scores), default=1)
-        self.unknown = -round(1e6 * (math.log(len(pieces) + 2) + 10))
+        self.unknown = (min(self.scores.values()) if scores else -round(1e6 * math.log(len(pieces) + 2))) - 10_000_000
         self.terminal: dict[bytes, int] = {}
         self.nodes = 0
 
@@ -61,11 +65,11 @@ class PrefixCounts:
             path = word
             self.terminal[raw] = count[-1]
 
-    def counts(self, texts: list[str | None], most: int = 500_000) -> list[tuple[int, int]]:
+    def counts(self, texts: list[str | None], most: int = 300_000) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text. The terminal table is dropped when it holds over `most` pre-tokens."""
         if len(self.terminal) > most:
             self.terminal.clear()
-        out, step = [], 512
+        out, step = [], 4096
         for at in range(0, len(texts), step):
             split = [(t or "").encode().split() for t in texts[at : at + step]]
             new = set().union(*split) - self.terminal.keys() if split else set()
@@ -96,15 +100,17 @@ def model(path: str) -> PrefixCounts:
     return _loaded[path]
 
 
-def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of every whole text; null and blank texts count 0.
+def token_counts(documents: DataFrame, path: str | None = None, scores: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of every whole text; null and blank texts count 0; repeated rows each give a row, an empty table none.
 
-    One pass, nothing shuffled: a task holds the terminal counts of its own distinct pre-tokens, a bounded number.
+    scores, if given, are those of all pieces, in millionths of a nat. One pass, nothing shuffled: a task holds the
+    terminal counts of its own distinct pre-tokens, a bounded number.
     """
     path = path or default_path()
+    small_batches(documents.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(path) if scores is None else PrefixCounts([], scores)
         for b in batches:
             got = np.array(m.counts(b.column(1).to_pylist()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["doc_id", "n_pretokens", "n_tokens"])

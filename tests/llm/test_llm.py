@@ -176,7 +176,19 @@ def test_token_counts(docs, texts):
     for t in texts:
         words = (t or "").encode().split()
         assert m.counts([t]) == [(len(words), sum(brute_tokens(m, w.decode()) for w in words))]
+    # one insertion over all texts shares prefixes between them
+    m = tokencount.PrefixCounts(["▁a", "a", "b", "ab", "▁", "xx", "x", "é", "éé"])
+    assert m.counts(texts) == [(len((t or "").encode().split()), sum(brute_tokens(m, w.decode()) for w in (t or "").encode().split())) for t in texts]
+    assert 0 < m.nodes < sum(len(w) + 1 for w in m.terminal)
+    scores = {"a": -100, "b": -150, "ab": -160, "▁": -5, "▁ab": -400}
+    given = by_id(tokencount.token_counts(docs, scores=scores))
+    m = tokencount.PrefixCounts([], scores)
+    real = tokencount.model(tokencount.default_path())
     got = by_id(tokencount.token_counts(docs))
+    for i, t in enumerate(texts):
+        words = [w.decode() for w in (t or "").encode().split()]
+        assert (given[i].n_pretokens, given[i].n_tokens) == (len(words), sum(brute_tokens(m, w) for w in words))
+        assert (got[i].n_pretokens, got[i].n_tokens) == (len(words), sum(brute_tokens(real, w) for w in words))
     assert (got[6].n_tokens, got[7].n_tokens, got[8].n_pretokens) == (0, 0, 0)
 
 
