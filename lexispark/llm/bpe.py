@@ -92,11 +92,15 @@ class ByteBpe:
         ids = self.raw(text)
         self.kept[key] = ids.astype(np.uint16) if len(self.lengths) <= 1 << 16 else ids
         self.kept_bytes += self.kept[key].nbytes + 200
-        while self.kept_bytes > 32 << 20:
+        while self.kept_bytes > 24 << 20:
             old = next(iter(self.kept))
             self.kept_bytes -= self.kept.pop(old).nbytes + 200
         return ids
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.kept_bytes = 0
+
     def stretch(self, text: str) -> np.ndarray:
         """ids of a stretch without special tokens."""
         data = text.encode()
@@ -201,6 +205,7 @@ def encoded(documents: DataFrame, path: str | None = None, keep_ids: bool = True
                 cols.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.forget()  # the worker lives on
 
     kept = ", ids array<int>" if keep_ids else ""
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(rows, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{kept}")

@@ -42,7 +42,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -189,7 +189,7 @@ def regions(documents: DataFrame, entries: int, percent: int) -> DataFrame:
                 node = node_of(s) if len(s) else None
                 if node is None or node in met:
                     continue
-                if len(met) < 200_000:
+                if len(met) < 100_000:
                     met.add(node)
                 for keys in region_keys(s, percent):
                     yield from packer.add(keys, np.full(len(keys), node, np.int64))

@@ -23,7 +23,7 @@ class Packer:
     thin, if given, maps the columns of a whole buffer to those that are given out.
     """
 
-    def __init__(self, parts: int, names: list[str], most: int = 12 << 20, thin: Callable[..., list[np.ndarray]] | None = None) -> None:
+    def __init__(self, parts: int, names: list[str], most: int = 8 << 20, thin: Callable[..., list[np.ndarray]] | None = None) -> None:
         self.parts, self.names, self.most, self.thin = parts, names, most, thin
         self.held: list[tuple[np.ndarray, ...]] = []
         self.bytes = 0

@@ -188,7 +188,7 @@ def distinct_texts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterat
         for text in b.column(column).to_pylist():
             raw = (text or "").encode()
             if len(raw) >= LENGTH and (key := text_key(raw)) not in met:
-                if len(met) < 200_000:
+                if len(met) < 100_000:
                     met.add(key)
                 yield raw, key
 

@@ -32,7 +32,7 @@ KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lowe
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -505,12 +505,111 @@ def test_query_equals_sql(spark, duck, name):
     same(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name]))
 
 
+def test_ftrl_equals_plain_loop():
+    """Weights equal those of the published update, coordinate by coordinate, in the same order of rows."""
+    r = np.random.RandomState(3)
+    rows = [np.unique(r.randint(0, 30, r.randint(1, 9))) for _ in range(80)]
+    y = np.array([int(5 in x or 7 in x) for x in rows])
+    at = np.append(0, np.cumsum([len(x) for x in rows]))
+    features = np.arange(30, dtype=np.int32) * 11
+    got = dict(zip(*(a.tolist() for a in toxicity.fit(toxicity.Labelled(features, np.concatenate(rows), at, y), steps=400)), strict=True))
+    z, n, order = Counter(), Counter(), np.random.RandomState(7)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(5):
+        for k in order.permutation(80):
+            here = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in here}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y[k]) * (toxicity.POSITIVE if y[k] else 1.0)
+            for i in here:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {1 << toxicity.BITS if i == "bias" else int(features[i]): weight(i) for i in [*range(30), "bias"] if weight(i)}
+    assert got == pytest.approx(want, rel=1e-5) and 0 < len(want) < 31
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on its own input."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages_ = dict(corpus_pipeline.STAGES)
+    kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, common.written(stage(spark, docs, SF), name)
         assert docs.schema.simpleString() == before.schema.simpleString()
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == docs.count() > 0
+        kept[name] = (before, docs)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    before, after = kept["toxicity"]
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in toxicity.toxicity(before, labels).collect() if r.score < 0.5}
+    before, after = kept["jaccard_join"]
+    rows = before.orderBy("doc_id").collect()
+    comp = brute_components([r.text for r in rows])[1]
+    assert sorted(r.doc_id for r in after.collect()) == sorted(rows[c].doc_id for c in set(comp))
+    before, after = kept["secret_scan"]
+    clean = {r.doc_id: r.text for r in before.collect()}
+    for g in sorted((g for g in secretscan.scanned(before).collect() if g.is_secret), key=lambda g: -g.start):
+        clean[g.doc_id] = clean[g.doc_id][: g.start] + secretscan.MASK + clean[g.doc_id][g.start + g.length :]
+    assert {r.doc_id: r.text for r in after.collect()} == clean
+    before, after = kept["mixing"]
+    words = Counter()
+    for r in after.collect():
+        words[r.doc_id] += len(r.text.encode().split())
+    assert +words == Counter({g.doc_id: g.taken for g in mixture.mixed(before).collect() if g.taken})
+    t = Tokenizer.from_file(bpe.default_path())
+    last = stages_["encoding"](spark, docs, SF)
+    want = Counter((r.doc_id, tuple(t.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last.collect()) == want
+
+
+CLASHING = ["_score", "_hits", "_key", "_row", "_words", "_doc", "_text", "size", "score", "row", "n_shingles", "component_id", "Status", "path", "start", "label", "bucket", "key", "h"]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    r = random.Random(31)
+    long = prose(r, 150_000)  # about 600 KB
+    copies = prose(r, 60)
+    texts = [None, "", " \n\t", "one", long, copies, copies, copies, "password = 'k3Jd8sQpZ1vB7nXw' end", "\0\0", "😀 é 日本", "a b c d e f"]
+    rows = [(i, t, [None, "s", "t"][i % 3], "en", len(t or "")) for i, t in enumerate(texts)] + [(5, copies, "t", None, None)] * 2 + [(None, t, None, None, 0) for t in (copies, None, "x y", "x y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    return d.select("*", *(F.lit(7).alias(c) for c in CLASHING))
+
+
+OPERATORS = {
+    "op1": repeats.without_repeats, "op3": tokencount.token_counts, "op4": jaccard.similar_documents, "op5": media.text_digests, "op6": mixture.mixed, "op8": shards.sharded, "op10": bpe.encoded,
+    "op7": lambda d: toxicity.toxicity(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_hard_rows(hard, name):
+    """Nulls in any column, empty and long texts, repeated rows, other columns and empty tables: one row for each row."""
+    got = OPERATORS[name](hard)
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == sorted(r.doc_id if r.doc_id is not None else -1 for r in hard.select("doc_id").collect())
+    assert OPERATORS[name](hard.limit(0)).count() == 0
+
+
+def test_hard_rows_in_stages(spark, hard):
+    n, none = hard.count(), hard.limit(0)
+    labels = hard.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for stage in (lambda d: stages.without_toxic(d, labels), stages.without_near_copies, secretscan.redacted, mixture.mixed_documents):
+        got = stage(hard)
+        assert got.columns == hard.columns and got.schema.simpleString() == hard.schema.simpleString() and got.count() <= 2 * n
+        assert stage(none).count() == 0
+    kept = stages.without_near_copies(hard).collect()
+    copies = hard.filter("doc_id = 5").first().text
+    assert [r.doc_id for r in kept if r.text == copies] == [5] and sum(r.text == "x y" for r in kept) == 1 and sum(not (r.text or "").split() for r in kept) == 4
+    clean = secretscan.redacted(hard).collect()
+    assert len(clean) == n and [r.text for r in clean if r.doc_id == 8] == [f"password = '{secretscan.MASK}' end"]
+    assert stages.without_toxic(hard, labels.limit(0)).count() == n
+    found = secretscan.scanned(hard).collect()
+    assert [r.finding for r in found if r.doc_id == 8] == ["k3Jd8sQpZ1vB7nXw"] and secretscan.scanned(none).count() == 0
+    same = spark.createDataFrame([(1, "a token = \"0123456789abcdef01234567\"", "s")] * 3, "doc_id long, text string, source string")
+    assert secretscan.scanned(same).count() == 3 and {r.text for r in secretscan.redacted(same).collect()} == {f'a token = "{secretscan.MASK}"'}
