@@ -30,7 +30,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("jaccard_join", jaccard_join), ("secret_scan", secret_scan), ("mixing", mixing), ("encoding", encoding)]
 
-#: Neither the classifier nor the forest can be expressed in SQL; the tests hold the stages against brute force.
+#: Neither the classifier nor the forest can be expressed in SQL; tests/llm holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
