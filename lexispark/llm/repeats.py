@@ -215,7 +215,8 @@ def met_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
         for raw, key in distinct_texts(batches):
             h = roll.all(roll.sums(np.frombuffer(raw, np.uint8)), GRAM)
             at = anchors(h, LENGTH, GRAM)
-            yield from packer.add(h[at], np.full(len(at), key, np.int64), at.astype(np.uint32))
+            # anchors have the least hashes of their windows: mixed again, they spread over all parts
+            yield from packer.add(mix64(h[at]), np.full(len(at), key, np.int64), at.astype(np.uint32))
         yield from packer.flush()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def contexts(docs: DataFrame, n_anchors: int, bounds: bool = False) -> DataFrame
                 at = np.unique(at[np.frombuffer(crowded, np.uint8) == 0])
                 x = np.frombuffer(raw, np.uint8)
                 sums = roll.sums(x)
-                h = roll.at(sums, at, GRAM)
+                h = mix64(roll.at(sums, at, GRAM))
                 windows = window_anchors(roll.all(sums, GRAM), LENGTH, GRAM) if bounds else at
                 for a in range(0, len(at), 5_000):
                     p = at[a : a + 5_000]
