@@ -35,6 +35,7 @@ COARSE = 512
 SMALL = 40  # sets of smaller rings go by their first shingles instead of slices
 SPARE = 8
 CHUNK = 128
+SALTS = 32  # pieces of a pivot's rows where they meet rows of a few bytes that are too many to broadcast
 FREQUENT = 16  # shingles of more sets than this count as common in crowded regions
 MOST_FREQUENT = 1 << 18  # common shingles that are told to all tasks; a list of the most common ones is as exact as any
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -384,10 +385,27 @@ def sets_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
     return written(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
+def with_pivots(rows: DataFrame, pivots: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (pivot, node, ..) joined with pivots (already written, a row of a few numbers for each pivot), so that no task gathers a pivot's rows.
+
+    pivots are broadcast if their size allows it; beyond, each pivot's rows are salted by node and its row is copied to the salts.
+    """
+    if fits_broadcast(pivots, 40):
+        return rows.join(F.broadcast(pivots), "pivot", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    copied = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, ["pivot", "salt"], how).drop("salt")
+
+
 def star_links(cand: DataFrame, known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of sets with the nearest pivot that they share a region with."""
+    """Links (a, b) of sets with the nearest pivot that they share a region with; a pivot goes to a piece of its region per CHUNK sets."""
     side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
-    star = cand.filter("pivot <> node").join(side("node", "a"), "node").join(side("pivot", "b"), "pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "na", "nb", "ha", "hb")
+    member = cand.filter("pivot <> node")
+    hot = written(member.groupBy("pivot").agg(F.count("*").alias("g")).filter(F.col("g") > CHUNK).select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("pieces")), "hot-pivots")
+    pieces = F.coalesce("pieces", F.lit(1))
+    member = with_pivots(member, hot, "left").select("node", "pivot", F.pmod(F.xxhash64("node"), pieces).cast("int").alias("piece"))
+    pivots = side("pivot", "b").join(hot, "pivot", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    star = member.join(side("node", "a"), "node").join(pivots, ["pivot", "piece"]).select(F.col("node").alias("a"), F.col("pivot").alias("b"), "na", "nb", "ha", "hb")
     star = written(bounded(star, percent).groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "star")
     sets = sets_of(known, nodes, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct())
     near = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -395,10 +413,10 @@ def star_links(cand: DataFrame, known: DataFrame, nodes: DataFrame, percent: int
 
 
 def open_regions(cand: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cand with the components of its nodes, and of the regions that lie in several the pivot and size g."""
+    """cand with the components of its nodes, and of the regions that lie in several the pivot and size g, written."""
     open_ = cand.join(comp, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
     split = open_.groupBy("pivot").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g")).filter("c0 <> c1").select("pivot", "g")
-    return open_, split
+    return open_, written(split, "split-regions")
 
 
 def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -420,16 +438,15 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     crowd = written(split.filter(F.col("g") > CHUNK).select("pivot"), "crowded")
     if not crowd.isEmpty():
         # pairs of a crowded region meet again among all sets of such regions, by their rarest shingles
-        inside = sets_of(known, nodes, cand.join(crowd, "pivot", "left_semi").select("node").distinct())
+        inside = sets_of(known, nodes, with_pivots(cand, crowd, "left_semi").select("node").distinct())
         held = inside.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
         inner = inner_regions(inside, held, percent)
         links = links.unionByName(star_links(inner, known, nodes, percent))
         comp = components(links, "inner-components")
-        cand = written(cand.join(crowd, "pivot", "left_anti").select("pivot", "node").unionByName(inner).distinct(), "open-regions")
+        cand = written(with_pivots(cand, crowd, "left_anti").select("pivot", "node").unionByName(inner).distinct(), "open-regions")
         open_, split = open_regions(cand, comp)
     # regions left in several components, in blocks of chunk pairs
-    split = split.select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("chunks"))
-    block = open_.join(split, "pivot").join(nodes.select("node", "n", "hist"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    block = with_pivots(open_, split).withColumn("chunks", F.ceil(F.col("g") / CHUNK).cast("int")).drop("g").join(nodes.select("node", "n", "hist"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = block.select("pivot", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "hist")
     together = lambda df: df.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "chunk", "node")
     # a pair meets at several pivots; it is settled at the least, so that a set goes to few blocks

@@ -226,8 +226,9 @@ def test_jaccard(spark, docs, texts, empty, monkeypatch):
     assert [got[i].component_id for i in range(len(many))] == brute_components(many)[1]
 
 
-def test_jaccard_crowded(spark, monkeypatch):
-    """Documents that share a long passage, few of them linked, are joined exactly with any list of common shingles."""
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_jaccard_crowded(spark, monkeypatch, broadcast):
+    """Documents that share a long passage, few of them linked, are joined exactly with any list of common shingles, whether pivots are broadcast or salted."""
     r = random.Random(9)
     passage = prose(r, 120)
     many = []
@@ -240,6 +241,8 @@ def test_jaccard_crowded(spark, monkeypatch):
             many.append(f"{passage} {' '.join(w)}")
     monkeypatch.setattr(jaccard, "CHUNK", 6)
     monkeypatch.setattr(jaccard, "MOST_FREQUENT", 3)
+    if not broadcast:
+        monkeypatch.setattr(jaccard, "fits_broadcast", lambda df, row_bytes: False)
     got = by_id(jaccard.similar_documents(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
     assert [got[i].component_id for i in range(len(many))] == brute_components(many)[1]
 
