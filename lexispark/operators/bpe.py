@@ -1,4 +1,4 @@
-"""Byte-pair encoding: a distributed word histogram, a bounded merge loop, lowest-rank-first encoding with byte fallback.
+"""Byte-pair encoding: a distributed word histogram, a merge loop, lowest-rank-first encoding with byte fallback.
 
 Merges are keyed by pair (Sennrich et al. 2016). Pre-tokens never cross a space, a newline, or a change between letters,
 digits and other characters; user symbols are cut out first, longest first. A space is shown as U+2581 before a piece.
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import merging
+
 SPACE = "▁"
 WORDS = rf"{SPACE}?(?:[A-Za-z_]+|[0-9]+|[^A-Za-z_0-9\s{SPACE}]+)|{SPACE}|\n|[^\S\n]"
 MODEL_TYPES = ("bpe", "unigram", "char", "word")
@@ -80,7 +82,10 @@ def histogram(df: DataFrame, source: str = "source", symbols: tuple[str, ...] =
 
 
 def learn(words: Iterator[tuple[str, int]], n_merges: int, longest: int = 16) -> tuple[list[tuple[str, str]], list[str]]:
-    """Merges and characters by frequency. The most frequent pair goes first; ties by left, then right piece."""
+    """Merges and characters by frequency. The most frequent pair goes first; ties by left, then right piece.
+
+    In one process, with all words; `train` learns the same from words that stay with Spark's tasks (`merging.learn`).
+    """
     chars: Counter[str] = Counter()
     seqs, freq = [], []
     for w, n in words:
@@ -189,10 +194,11 @@ def learn_unigram(words: Iterator[tuple[str, int]], size: int, longest: int = 16
 
 
 def train(df: DataFrame, config: Config, source: str = "source") -> Model:
-    """The histogram is counted in Spark; its distinct words are streamed to the learner. ValueError if the corpus cannot fill the vocabulary."""
+    """The histogram is counted in Spark; merges are learned where its words are, words and unigram pieces from a stream of them. ValueError if the corpus cannot fill the vocabulary."""
     if config.model_type not in MODEL_TYPES:
         raise ValueError(f"model type: {config.model_type}")
-    words = ((r["word"], r["n"]) for r in histogram(df, source, config.user_defined_symbols).orderBy("word").toLocalIterator())
+    counted = histogram(df, source, config.user_defined_symbols)
+    words = ((r["word"], r["n"]) for r in counted.orderBy("word").toLocalIterator()) if config.model_type in ("word", "unigram") else iter(())
     base = special_tokens(config.user_defined_symbols) + 256
     if config.model_type == "word":
         top = sorted(words, key=lambda x: (-x[1], x[0]))[: max(0, config.vocab_size - base)]
@@ -202,7 +208,7 @@ def train(df: DataFrame, config: Config, source: str = "source") -> Model:
         if len(scores) < config.vocab_size - base:
             raise ValueError("vocabulary size too high for the corpus")
         return Model([], [], config.user_defined_symbols, scores)
-    merges, chars = learn(words, 0 if config.model_type == "char" else 1 << 30 if config.vocab_size <= 0 else max(0, config.vocab_size - base))
+    merges, chars = merging.learn(counted, 0 if config.model_type == "char" else 1 << 30 if config.vocab_size <= 0 else max(0, config.vocab_size - base))
     room = config.vocab_size - base - len(chars)
     if room < 0 or config.model_type == "bpe" and len(merges) < room:
         raise ValueError("vocabulary size too high or too low for the corpus")
