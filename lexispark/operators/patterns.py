@@ -79,7 +79,24 @@ def vocab_search(vocab: DataFrame, terms_: DataFrame, first_id: int = 0) -> Data
 def syntax_counts(df: DataFrame, source: str = "source") -> DataFrame:
     """One row: a count for each counted pattern, the characters of the text, and the flags uses_new and uses_old."""
     c = F.col(source)
-    row = df.agg(*(F.coalesce(F.sum(substring_count(c, p)), F.lit(0)).alias(f"n_{i}") for i, p in enumerate(COUNTED)), F.coalesce(F.sum(F.length(c)), F.lit(0)).alias("chars"))
+    return flagged(df.select(*(substring_count(c, p).alias(f"n_{i}") for i, p in enumerate(COUNTED)), F.length(c).alias("chars")))
+
+
+def file_syntax_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The same for plain text files, read by line, so that no task holds a file: no counted pattern goes beyond a line.
+
+    The reader drops newlines and a byte order mark; a file's size tells the mark and whether its last line ends.
+    """
+    c, lines = F.col("value"), spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    names = [f"n_{i}" for i in range(len(COUNTED))]
+    files = lines.groupBy("file", "size").agg(*(F.sum(substring_count(c, p)).alias(n) for n, p in zip(names, COUNTED, strict=True)), F.sum(F.length(c)).alias("_chars"), F.sum(F.octet_length(c)).alias("_bytes"), F.count("*").alias("_lines"))
+    left = F.col("size") - F.col("_bytes") - F.col("_lines")  # -1: the last line is open; 3 more: a mark, which is one character
+    dropped = F.when(left == -1, -1).when(left == 3, 1).otherwise(0)
+    return flagged(files.select(*names, (F.col("_chars") + F.col("_lines") + dropped).alias("chars")))
+
+
+def flagged(counts: DataFrame) -> DataFrame:
+    row = counts.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts.columns))
     some = lambda ps: sum((F.col(f"n_{COUNTED.index(p)}") for p in ps), F.lit(0)) > 0
     return row.withColumn("uses_new", some(NEW_COUNTED)).withColumn("uses_old", some(OLD_COUNTED))
 

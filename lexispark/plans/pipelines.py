@@ -157,7 +157,7 @@ def syntax(spark: SparkSession, model_dir: str, train_text: str, corpus_dir: str
     hits = {r["term"]: r["hits"] for r in patterns.vocab_search(vocab, patterns.terms(spark), model.first_learned()).orderBy("first_id", "term").collect()}
     training = None
     if Path(train_text).exists():
-        training = patterns.syntax_counts(spark.read.text(train_text, wholetext=True), "value").first().asDict()
+        training = patterns.file_syntax_counts(spark, train_text).first().asDict()
     stats = None
     if Path(corpus_dir).is_dir():
         e = bpe.encode(scans.read_directory(spark, corpus_dir, fields, json_first=False, limit=200), model)

@@ -1,11 +1,11 @@
-"""What must hold on larger tables: words stay with the tasks."""
+"""What must hold on larger tables: words stay with the tasks, no file is one row."""
 
 import random
 
 import pytest
 
-from lexispark import queries
-from lexispark.operators import bpe, merging
+from lexispark import queries, scan_queries
+from lexispark.operators import bpe, merging, patterns
 from tests.conftest import SF
 
 
@@ -33,3 +33,23 @@ def test_words_stay_off_the_driver(spark, monkeypatch, query):
         merges, chars = bpe.learn(iter(words), config.vocab_size - 4 - 256)
         got = queries.bpe_merges(spark, SF).orderBy("rank").collect()
         assert [(x["a"], x["b"]) for x in got] == merges[: config.vocab_size - 4 - 256 - len(chars)]
+
+
+def test_counts_of_files_by_line(spark, tmp_path):
+    texts = ["", "\n", "m=$x", "m=$x\r\n@(\n", "﻿M=\n$é", "﻿M=\n$$😀\n", "\n\n I=F=", "a\rb\x0bc\x85d T=\n"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+        got, want = (f.first() for f in (patterns.file_syntax_counts(spark, str(tmp_path / f"{i}.txt")), patterns.syntax_counts(spark.createDataFrame([(t,)], "source string"))))
+        assert got == want, (t, got, want)
+    got, want = (f.first() for f in (patterns.file_syntax_counts(spark, str(tmp_path)), patterns.syntax_counts(spark.createDataFrame([(t,) for t in texts], "source string"))))
+    assert got == want
+
+
+def test_no_file_is_one_row(spark):
+    plan = scan_queries.whole_text(spark, SF)._jdf.queryExecution().toString()
+    assert "wholetext" not in plan.lower()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert scan_queries.whole_text(spark, SF).first()["chars"] > 100_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
