@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merging
+from . import merging, tokenizers
 
 SPACE = "▁"
 WORDS = rf"{SPACE}?(?:[A-Za-z_]+|[0-9]+|[^A-Za-z_0-9\s{SPACE}]+)|{SPACE}|\n|[^\S\n]"
@@ -279,8 +279,8 @@ def encode(df: DataFrame, model: Model, source: str = "source", decode: bool = T
     @F.pandas_udf(f"struct<{kinds}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = Encoder(model)
-        for s in batches:
-            p = [e.encode(t) for t in s.fillna("")]
+        for s in tokenizers.slices(batches):
+            p = [e.encode(t) for t in s]
             out = {"ids": [[*map(e.id.__getitem__, y)] for y in p], "pieces": p}
             yield pd.DataFrame(out | ({"decoded": [e.decode(y) for y in p]} if decode else {}))
 

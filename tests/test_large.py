@@ -1,11 +1,13 @@
-"""What must hold on larger tables: words stay with the tasks, no file is one row."""
+"""What must hold on larger tables: words stay with the tasks, tokens of a batch come in slices, no file is one row."""
 
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark import queries, scan_queries
-from lexispark.operators import bpe, merging, patterns
+from lexispark.operators import bpe, merging, patterns, tokenizers
 from tests.conftest import SF
 
 
@@ -35,6 +37,25 @@ def test_words_stay_off_the_driver(spark, monkeypatch, query):
         assert [(x["a"], x["b"]) for x in got] == merges[: config.vocab_size - 4 - 256 - len(chars)]
 
 
+def test_tokens_come_in_slices():
+    batch = pd.Series(["a" * 400_000, None, "b" * 700_000, "", "c" * 3_000_000, "d"])
+    parts = [*tokenizers.slices(iter([batch, pd.Series([], dtype=object), pd.Series(["e"])]))]
+    assert [len(p) for p in parts] == [3, 2, 1, 1]
+    assert pd.concat(parts).tolist() == [*batch.fillna(""), "e"]
+
+
+@pytest.mark.parametrize("model", ["piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "own"])
+def test_encoders_yield_slices(spark, model):
+    df = spark.createDataFrame([(i, "m=1 the sum " * n) for i, n in enumerate((0, 40_000, 3, 70_000, 90_000, 1))], "ord int, source string").coalesce(1)
+    if model == "own":
+        m = bpe.train(df, bpe.Config(vocab_size=300, model_type="char"))
+        e = bpe.encode(df, m).select("ord", "source", "decoded")
+    else:
+        _, encode = tokenizers.open_tokenizer(scan_queries.tokenizer_file(model))
+        e = df.withColumn("_e", encode(F.col("source"))).select("ord", "source", F.col("_e.decoded"))
+    assert {r["ord"] for r in e.collect() if r["decoded"].strip() == r["source"].strip()} == set(range(6))
+
+
 def test_counts_of_files_by_line(spark, tmp_path):
     texts = ["", "\n", "m=$x", "m=$x\r\n@(\n", "﻿M=\n$é", "﻿M=\n$$😀\n", "\n\n I=F=", "a\rb\x0bc\x85d T=\n"]
     for i, t in enumerate(texts):
